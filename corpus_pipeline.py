@@ -1,19 +1,48 @@
-"""The corpus pipeline: stages over documents, each over all that its predecessor kept."""
+"""The corpus pipeline: stages over documents, each over all that its predecessor kept.
+
+Every stage but the last returns the columns of documents. ORACLE_SQL is None: fingerprints and
+token ids aren't expressible in SQL; the operators are tested against brute force instead.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfold.llm import packing
+from wayfold.llm import decontaminate, packing, quality_model, quality_rules, simhash
 from wayfold.llm.shared import materialise
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that the classifier rejects go."""
+    return quality_model.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that the rules reject go."""
+    return docs.where(quality_rules.rules_column(docs["text"])["kept"])
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4 on five-word shingles: the document with the smallest id of each group stays,
+    repeated rows of it once; rows without an id stay as they are."""
+    groups = simhash.near_duplicates(docs)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that leak a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9 over what is left."""
     return packing.pack(docs).drop("ids")
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality classifier", classify), ("quality rules", rules), ("simhash near-dedup", deduplicate), ("benchmark decontamination", decontaminated), ("packing", pack)]
 
 ORACLE_SQL = None
 
@@ -22,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents table; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs

@@ -10,7 +10,7 @@ n words if some run of its words is within ``rate * n`` word edits of the item.
    walk: step j writes the current word and moves on if a random function of (j, word) says so.
    A few edits leave most positions of the embedding alike, so edit distance becomes Hamming
    distance.
-3. Each repetition has its own walk and samples a few positions; equal samples are candidates. The
+3. Repetitions sample a few positions each, from one of several walks; equal samples are candidates. The
    number of repetitions comes from the target recall and from the share of positions that edits
    at the full rate change, measured on the items themselves.
 4. Candidates are verified by exact edit distance of the item to the best run of words near it.
@@ -27,6 +27,7 @@ by (``leak_column``); an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .shared import slices
 
-RATE, RECALL, SAMPLED, MAX_REPEATS = 0.2, 0.95, 3, 96
+RATE, RECALL, SAMPLED, MAX_REPEATS, WALKS = 0.2, 0.95, 3, 96, 4
+#: Documents searched side by side, as numbers of words only.
+TOGETHER = 1_024
 BLOCK_ITEMS, BLOCK_CHARS, TABLE_BITS = 4_096, 8_000_000, 22
 _MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…*_#|-–—"
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -121,7 +124,7 @@ class ItemIndex:
             sizes = [len(self.items[k][1]) for k in members]
             self.classes.append((min(sizes), max(sizes), int(rate * max(sizes)), members))
         self.repeats = self._repeats(recall)
-        self.tables = [[self._table(c, r) for r in range(self.repeats)] for c in self.classes]
+        self.tables = [self._tables(c) for c in self.classes]
 
     def _repeats(self, recall: float) -> int:
         """Repetitions that find ``recall`` of the items with edits at the full rate."""
@@ -152,11 +155,18 @@ class ItemIndex:
                 out = _mix(out * np.uint64(31) + embedded[:, c] + np.uint64(c))
         return out
 
-    def _table(self, of: tuple, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    def _tables(self, of: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
         size, _, _, members = of
-        keys = np.concatenate([self._keys(embed(self.items[k][1], np.zeros(1, np.int64), size, repeat), repeat) for k in members])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.array(members)[order]
+        words = np.concatenate([self.items[k][1][:size] for k in members])
+        starts = np.arange(len(members)) * size
+        out = []
+        for walk in range(WALKS):
+            embedded = embed(words, starts, size, walk)
+            for repeat in range(walk, self.repeats, WALKS):
+                keys = self._keys(embedded, repeat)
+                order = np.argsort(keys, kind="stable")
+                out.append((repeat, keys[order], np.array(members)[order]))
+        return sorted(out, key=lambda t: t[0])
 
     def _starts(self, hits3: np.ndarray, hits1: np.ndarray, n: int, size: int, longest: int, edits: int) -> np.ndarray:
         """Places from which on enough of the benchmark's shingles stand."""
@@ -170,36 +180,54 @@ class ItemIndex:
         at = np.flatnonzero(hits)
         return at[total[np.minimum(at + longest + edits - slack, len(hits))] - total[at] >= need]
 
-    def find(self, words: np.ndarray, first_only: bool = False) -> list[tuple[int, int, int]]:
-        """(place in items, edits, end of the run) of all leaks, the best run of each item."""
-        if not self.items or not len(words):
-            return []
+    def find(self, texts: list[np.ndarray], first_only: bool = False) -> list[list[tuple[int, int, int]]]:
+        """For each text (place in items, edits, end of the run) of its leaks, the best run of each item."""
+        out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+        if not self.items:
+            return [[] for _ in texts]
         mask = np.uint64((1 << TABLE_BITS) - 1)
-        hits1, hits3 = self.words[words & mask], self.runs[shingles(words) & mask]
-        found: dict[int, tuple[int, int]] = {}
+        hits = [(self.runs[shingles(w) & mask], self.words[w & mask]) if len(w) else None for w in texts]
         for (size, longest, edits, _), tables in zip(self.classes, self.tables, strict=True):
-            all_starts = self._starts(hits3, hits1, len(words), size, longest, edits)
-            together = max(1, 1_000_000 // (3 * size))  # what is embedded at once stays bounded
-            for cut in range(0, len(all_starts), together):
-                starts = all_starts[cut : cut + together]
-                pairs = set()
-                for repeat, (keys, members) in enumerate(tables):
-                    got = self._keys(embed(words, starts, size, repeat), repeat)
-                    low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                    for k in np.flatnonzero(high > low):
-                        pairs.update((int(m), int(starts[k])) for m in members[low[k] : high[k]])
-                for member, start in sorted(pairs):
-                    item = self.items[member][1]
+            found = [(k, self._starts(*h, len(texts[k]), size, longest, edits)) for k, h in enumerate(hits) if h]
+            found = [(k, at) for k, at in found if len(at)]
+            if not found:
+                continue
+            words = np.concatenate([np.append(texts[k], np.zeros(size, np.uint64)) for k, _ in found])
+            base = np.cumsum([0] + [len(texts[k]) + size for k, _ in found])
+            owner = np.concatenate([np.full(len(at), k) for k, at in found])
+            local = np.concatenate([at for _, at in found])
+            start = np.concatenate([at + b for (_, at), b in zip(found, base, strict=False)])
+            together = max(1, 2_000_000 // (3 * size))  # what is embedded at once stays bounded
+            for cut in range(0, len(start), together):
+                part, pairs = slice(cut, cut + together), set()
+                for walk in range(WALKS):
+                    embedded = embed(words, start[part], size, walk)
+                    for repeat, keys, members in tables:
+                        if repeat % WALKS == walk:
+                            got = self._keys(embedded, repeat)
+                            low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+                            for k in np.flatnonzero(high > low):
+                                pairs.update((int(owner[cut + k]), int(m), int(local[cut + k])) for m in members[low[k] : high[k]])
+                for (text, member), ats in groupby(sorted(pairs), key=lambda p: p[:2]):
+                    item, best = self.items[member][1], out[text]
                     most = int(self.rate * len(item))
-                    if found.get(member, (most + 1,))[0] == 0:
+                    if best.get(member, (most + 1,))[0] == 0 or first_only and best:
                         continue
-                    begin = max(0, start - 2 * most - 1)
-                    cost, end = best_run(item, words[begin : start + len(item) + 2 * most + 1])
-                    if cost <= most and (cost, begin + end) < found.get(member, (most + 1, 0)):
-                        found[member] = (cost, begin + end)
-                        if first_only:
-                            return [(member, *found[member])]
-        return [(m, c, e) for m, (c, e) in sorted(found.items())]
+                    spans: list[list[int]] = []  # places close to one another are looked at together
+                    for _, _, at in ats:
+                        begin, end = max(0, at - 2 * most - 1), at + len(item) + 2 * most + 1
+                        if spans and begin <= spans[-1][1]:
+                            spans[-1][1] = end
+                        else:
+                            spans.append([begin, end])
+                    for begin, end in spans:
+                        region = texts[text][begin:end]
+                        if np.isin(item, region).sum() < len(item) - most:
+                            continue  # each word that isn't there is an edit
+                        cost, stop = best_run(item, region)
+                        if cost <= most and (cost, begin + stop) < best.get(member, (most + 1, 0)):
+                            best[member] = (cost, begin + stop)
+        return [[(m, c, e) for m, (c, e) in sorted(d.items())] for d in out]
 
 
 def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS):
@@ -222,10 +250,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: flo
             import pyarrow as pa
 
             index, memo = ItemIndex(block, rate, recall), WordHashes()
-            for part in slices(batches):
+            for part in slices(batches, TOGETHER):
                 rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for member, edits, end in index.find(word_hashes(text, memo)):
+                found = index.find([word_hashes(t.as_py(), memo) for t in part.column(1)])
+                for doc, some in zip(part.column(0).to_pylist(), found, strict=True):
+                    for member, edits, end in some:
                         item, words = index.items[member]
                         rows.append((doc, item, len(words), edits, max(0, end - len(words))))
                 if rows:
@@ -247,7 +276,11 @@ def leak_column(text, block: list, rate: float = RATE, recall: float = RECALL):
     def leaky(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index, memo = ItemIndex(block, rate, recall), WordHashes()
         for part in parts:
-            yield pa.array([bool(index.find(word_hashes(t.as_py(), memo), True)) for t in part], pa.bool_())
+            out: list[bool] = []
+            for at in range(0, len(part), TOGETHER):
+                texts = [word_hashes(t.as_py(), memo) for t in part.slice(at, TOGETHER)]
+                out += map(bool, index.find(texts, True))
+            yield pa.array(out, pa.bool_())
 
     return leaky(text.cast("string"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, shared, simhash, token_counts, token_files
+from . import decontaminate, packing, quality_model, quality_rules, shared, simhash, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.scratch(spark, "token-archive")
     return token_files.token_file_digests(token_files.write_token_files(_table(spark, sf_dir, "documents"), folder), folder)
@@ -38,6 +46,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_decontaminate": op2_decontaminate,
+        "op10_quality_model": op10_quality_model,
         "op3_token_files": op3_token_files,
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
