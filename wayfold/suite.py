@@ -1,11 +1,196 @@
-"""Queries and SQL oracles of the trajectory operators."""
+"""Queries of the trajectory operators over the driver's tables, and their SQL oracles."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .operators import search, trajectories as T
+from .sources.trajectories import event_segments
+
+QUERY = 7
+SEG, BOX = ("x1", "y1", "x2", "y2"), ("xmin", "ymin", "xmax", "ymax")
+#: Fixed probes of the single-shape queries.
+PX, PY, PS, PB, R = 300.0, 50.0, (100.0, 10.0, 400.0, 90.0), (200.0, 20.0, 400.0, 60.0), 40.0
+
+
+def _boxed(s, d):
+    return T.boxes(event_segments(s, d))
+
+
+def _seg(column, name):
+    return lambda s, d: event_segments(s, d).select("traj_id", "seg_id", F.round(column(), 6).alias(name))
+
+
+def _flag(test):
+    return lambda s, d: event_segments(s, d).where(test()).select("traj_id", "seg_id")
+
+
+def _box(column, name):
+    return lambda s, d: _boxed(s, d).select("traj_id", F.round(column(), 6).alias(name))
+
+
+def _box_flag(test):
+    return lambda s, d: _boxed(s, d).where(test()).select("traj_id")
+
+
+def _topk(distance, strategy):
+    def run(s, d):
+        g = event_segments(s, d)
+        return search.topk(g, g.where(F.col("traj_id") == QUERY), distance=distance, strategy=strategy)
+
+    return run
+
+
+def _knn(s, d, ties=False):
+    g = event_segments(s, d).select("traj_id", "seg_id", F.round(G.point_segment(PX, PY, SEG), 6).alias("dist"))
+    if not ties:
+        return g.orderBy("dist", "traj_id", "seg_id").limit(10)
+    last = g.orderBy("dist").limit(10).agg(F.max("dist").alias("last"))
+    return g.join(F.broadcast(last), F.col("dist") <= F.col("last")).select("traj_id", "seg_id", "dist")
+
+
+def _cells(s, d):
+    """Sort-tile cells of trajectory boxes: 4 slabs by x, 4 tiles by y in each."""
+    b = _boxed(s, d).select("traj_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("cx"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy"), *BOX)
+    b = b.withColumn("slab", F.ntile(4).over(Window.orderBy("cx", "traj_id")) - 1)
+    return b.withColumn("cell", F.col("slab") * 4 + F.ntile(4).over(Window.partitionBy("slab").orderBy("cy", "traj_id")) - 1)
+
+
+def _summary(s, d):
+    t = T.stats(event_segments(s, d))
+    one = [t.agg(F.lit(c).alias("measure"), *[F.round(f(F.col(c).cast("double")), 4).alias(n) for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_pop), ("median", F.median))]) for c in ("n_segs", "total_length", "span")]
+    return one[0].union(one[1]).union(one[2])
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "traj_segments": lambda s, d: event_segments(s, d).select("traj_id", "seg_id", *[F.round(c, 6).alias(c) for c in SEG]),
+        "traj_mbr": lambda s, d: _boxed(s, d).select("traj_id", "n_segs", *[F.round(c, 6).alias(c) for c in BOX]),
+        "traj_stats": lambda s, d: T.stats(event_segments(s, d)).select("traj_id", "n_segs", F.round("total_length", 4).alias("total_length"), F.round("span", 6).alias("span")),
+        "traj_stats_summary": _summary,
+        "traj_span_filter": lambda s, d: T.span_filter(event_segments(s, d), 0.001, 800.0, 20).groupBy("traj_id").agg(F.count("*").alias("n_segs")),
+        "traj_relabel": lambda s, d: T.relabel(event_segments(s, d).select("traj_id")),
+        "traj_sample": lambda s, d: T.sample(event_segments(s, d), 10).groupBy("traj_id").agg(F.count("*").alias("n_segs")),
+        "dist_point_segment": _seg(lambda: G.point_segment(PX, PY, SEG), "dist"),
+        "dist_segment_match": _seg(lambda: G.segment_match(SEG, PS), "dist"),
+        "dist_segment_min": _seg(lambda: G.segment_min(SEG, PS), "dist"),
+        "dist_point_mbr": _box(lambda: G.point_mbr(PX, PY, BOX), "dist"),
+        "dist_point_mbr_max": _box(lambda: G.point_mbr_max(PX, PY, BOX), "dist"),
+        "dist_mbr_mbr": _box(lambda: G.mbr_mbr(BOX, PB), "dist"),
+        "dist_circle_mbr": _box(lambda: G.circle_mbr(PX, PY, R, BOX), "dist"),
+        "mbr_overlap_ratio": _box(lambda: G.overlap_ratio(BOX, PB), "ratio"),
+        "mbr_contains": _box_flag(lambda: G.mbr_contains(BOX, PX, PY)),
+        "mbr_intersects": _box_flag(lambda: G.mbr_intersects(BOX, PB)),
+        "circle_intersects": _box_flag(lambda: G.point_mbr(PX, PY, BOX) <= R),
+        "seg_intersects_seg": _flag(lambda: G.segments_intersect(SEG, PS)),
+        "range_mbr": _flag(lambda: G.segment_intersects_mbr(SEG, PB)),
+        "circle_range": _flag(lambda: G.point_segment(PX, PY, SEG) <= R),
+        "circle_range_conj": _flag(lambda: (G.point_segment(PX, PY, SEG) <= R) & (G.point_segment(PX + 20, PY, SEG) <= R)),
+        "anti_circle_range": _flag(lambda: G.point_segment(PX, PY, SEG) > R),
+        "ids_within": lambda s, d: event_segments(s, d).where(G.point_segment(PX, PY, SEG) <= R).select("traj_id").distinct(),
+        "ids_prunable": lambda s, d: event_segments(s, d).where(G.point_segment(PX, PY, SEG) > R).select("traj_id").distinct(),
+        "idset_difference": lambda s, d: event_segments(s, d).select("traj_id").distinct().subtract(_boxed(s, d).where(G.mbr_contains(BOX, PX, PY)).select("traj_id")),
+        "knn_point": _knn,
+        "knn_point_ties": lambda s, d: _knn(s, d, True),
+        "str_cells": lambda s, d: _cells(s, d).select("traj_id", "cell"),
+        "str_cell_stats": lambda s, d: _cells(s, d).groupBy("cell").agg(F.count("*").alias("n"), F.round(F.min("xmin"), 6).alias("xmin"), F.round(F.max("ymax"), 6).alias("ymax")),
+        "haversine": lambda s, d: event_segments(s, d).select("traj_id", "seg_id", F.round(G.haversine(F.col("y1") / 10, F.col("x1") / 10, F.col("y2") / 10, F.col("x2") / 10) / 1000, 3).alias("km")),
+        "zorder_encode": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_size").cast("long").alias("a"), (F.col("p_partkey") % 64).alias("b")).select("p_partkey", G.zorder(["a", "b"], 6).alias("z")),
+        "topk_hausdorff": _topk("hausdorff", "scan"),
+        "topk_hausdorff_pruned": _topk("hausdorff", "segments"),
+        "topk_hausdorff_mbr": _topk("hausdorff", "mbr"),
+        "topk_hausdorff_pivot": _topk("hausdorff", "pivot"),
+        "topk_frechet": _topk("frechet", "scan"),
+        "topk_frechet_pruned": _topk("frechet", "segments"),
+        "topk_frechet_mbr": _topk("frechet", "mbr"),
+    }
+
+
+# --- SQL, written apart from the column expressions ----------------------------------------------
+
+_WITH = """WITH pts AS (SELECT user_id AS traj_id, event_id, ts, (epoch_us(ts) - 1704067200000000) / 3600000000.0 AS x, CAST(value AS DOUBLE) AS y FROM events),
+s0 AS (SELECT traj_id, row_number() OVER w - 1 AS seg_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM pts WINDOW w AS (PARTITION BY traj_id ORDER BY ts, event_id)),
+seg AS (SELECT * FROM s0 WHERE x2 IS NOT NULL),
+box AS (SELECT traj_id, count(*) AS n_segs, min(least(x1, x2)) AS xmin, min(least(y1, y2)) AS ymin, max(greatest(x1, x2)) AS xmax, max(greatest(y1, y2)) AS ymax FROM seg GROUP BY 1),
+st AS (SELECT traj_id, any_value(n_segs) AS n_segs, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS total_length, any_value(sqrt((xmax - xmin) * (xmax - xmin) + (ymax - ymin) * (ymax - ymin))) AS span FROM seg JOIN box USING (traj_id) GROUP BY 1)
+"""
+
+
+def _ps(px, py, a, b, c, d) -> str:
+    t = f"(CASE WHEN {a} = {c} AND {b} = {d} THEN 0.0 ELSE greatest(0.0, least(1.0, (({px} - {a}) * ({c} - {a}) + ({py} - {b}) * ({d} - {b})) / (({c} - {a}) * ({c} - {a}) + ({d} - {b}) * ({d} - {b})))) END)"
+    return f"sqrt(pow({px} - ({a} + {t} * ({c} - {a})), 2) + pow({py} - ({b} + {t} * ({d} - {b})), 2))"
+
+
+def _four(a, b) -> str:
+    return ", ".join([_ps(a[0], a[1], *b), _ps(a[2], a[3], *b), _ps(b[0], b[1], *a), _ps(b[2], b[3], *a)])
+
+
+def _turn(a, b, c) -> str:
+    return f"sign(({b[0]} - {a[0]}) * ({c[1]} - {a[1]}) - ({b[1]} - {a[1]}) * ({c[0]} - {a[0]}))"
+
+
+def _cross(a, b) -> str:
+    p, q, r, s = a[:2], a[2:], b[:2], b[2:]
+    on = lambda u, v, w: f"({_turn(u, v, w)} = 0 AND {w[0]} BETWEEN least({u[0]}, {v[0]}) AND greatest({u[0]}, {v[0]}) AND {w[1]} BETWEEN least({u[1]}, {v[1]}) AND greatest({u[1]}, {v[1]}))"
+    return f"(({_turn(p, q, r)} * {_turn(p, q, s)} < 0 AND {_turn(r, s, p)} * {_turn(r, s, q)} < 0) OR {on(p, q, r)} OR {on(p, q, s)} OR {on(r, s, p)} OR {on(r, s, q)})"
 
 
 def oracle_sql() -> dict:
-    return {}
+    near, other = _ps(PX, PY, *SEG), _ps(PX + 20, PY, *SEG)
+    pmbr = f"sqrt(pow(greatest(xmin - {PX}, 0.0, {PX} - xmax), 2) + pow(greatest(ymin - {PY}, 0.0, {PY} - ymax), 2))"
+    x0, y0, x9, y9 = PB
+    bmbr = f"sqrt(pow(greatest(xmin - {x9}, 0.0, {x0} - xmax), 2) + pow(greatest(ymin - {y9}, 0.0, {y0} - ymax), 2))"
+    inside = f"{PX} BETWEEN xmin AND xmax AND {PY} BETWEEN ymin AND ymax"
+    w, h = f"(least(xmax, {x9}) - greatest(xmin, {x0}))", f"(least(ymax, {y9}) - greatest(ymin, {y0}))"
+    in_box = " OR ".join([f"(x1 BETWEEN {x0} AND {x9} AND y1 BETWEEN {y0} AND {y9})", f"(x2 BETWEEN {x0} AND {x9} AND y2 BETWEEN {y0} AND {y9})", *[_cross(SEG, e) for e in ((x0, y0, x9, y0), (x9, y0, x9, y9), (x9, y9, x0, y9), (x0, y9, x0, y0))]])
+    seg = lambda e, n: f"{_WITH} SELECT traj_id, seg_id, round({e}, 6) AS {n} FROM seg"
+    flag = lambda e: f"{_WITH} SELECT traj_id, seg_id FROM seg WHERE {e}"
+    box = lambda e, n: f"{_WITH} SELECT traj_id, round({e}, 6) AS {n} FROM box"
+    box_flag = lambda e: f"{_WITH} SELECT traj_id FROM box WHERE {e}"
+    rounded = lambda cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
+    pair = _four(("t.x1", "t.y1", "t.x2", "t.y2"), ("q.x1", "q.y1", "q.x2", "q.y2"))
+    pairs = f"{_WITH}, pr AS (SELECT t.traj_id AS tid, t.seg_id AS sid, q.seg_id AS qid, greatest({pair}) AS c FROM seg t CROSS JOIN (SELECT * FROM seg WHERE traj_id = {QUERY}) q)"
+    haus = f"{pairs} SELECT traj_id, dist FROM (SELECT tid AS traj_id, round(greatest(max(a), max(b)), 6) AS dist FROM (SELECT tid, min(c) AS a, NULL AS b FROM pr GROUP BY tid, sid UNION ALL SELECT tid, NULL, min(c) FROM pr GROUP BY tid, qid) GROUP BY tid) ORDER BY dist, traj_id LIMIT 10"
+    fre = f"{pairs}, m AS (SELECT tid, list(r ORDER BY sid) AS m FROM (SELECT tid, sid, list(c ORDER BY qid) AS r FROM pr GROUP BY 1, 2) GROUP BY 1), f AS (SELECT tid AS traj_id, round(list_reduce(m, lambda prev, row: list_reduce(range(1, len(row) + 1), lambda acc, j: acc || [greatest(row[j], least(acc[j - 1], prev[j], prev[j - 1]))], cast([] AS double[])), cast([] AS double[]))[-1], 6) AS dist FROM m) SELECT traj_id, dist FROM f ORDER BY dist, traj_id LIMIT 10"
+    cells = f"{_WITH}, c0 AS (SELECT *, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy FROM box), c1 AS (SELECT *, ntile(4) OVER (ORDER BY cx, traj_id) - 1 AS slab FROM c0), c2 AS (SELECT *, slab * 4 + ntile(4) OVER (PARTITION BY slab ORDER BY cy, traj_id) - 1 AS cell FROM c1)"
+    part = lambda c: f"SELECT '{c}' AS measure, round(avg({c}), 4) AS avg, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, round(stddev_pop({c}), 4) AS std, round(CAST(median({c}) AS DOUBLE), 4) AS median FROM st"
+    a = "(pow(sin(radians(y2 / 10 - y1 / 10) / 2), 2) + cos(radians(y1 / 10)) * cos(radians(y2 / 10)) * pow(sin(radians(x2 / 10 - x1 / 10) / 2), 2))"
+    z = " + ".join(f"(((p_size >> {b}) & 1) << {2 * b + 1}) + ((((p_partkey % 64) >> {b}) & 1) << {2 * b})" for b in range(6))
+    return {
+        "traj_segments": f"{_WITH} SELECT traj_id, seg_id, {rounded(SEG)} FROM seg",
+        "traj_mbr": f"{_WITH} SELECT traj_id, n_segs, {rounded(BOX)} FROM box",
+        "traj_stats": f"{_WITH} SELECT traj_id, n_segs, round(total_length, 4) AS total_length, round(span, 6) AS span FROM st",
+        "traj_stats_summary": f"{_WITH} {part('n_segs')} UNION ALL {part('total_length')} UNION ALL {part('span')}",
+        "traj_span_filter": f"{_WITH} SELECT traj_id, n_segs FROM st WHERE span > 0.001 AND span < 800.0 AND n_segs > 20",
+        "traj_relabel": f"{_WITH} SELECT traj_id, row_number() OVER (ORDER BY traj_id) - 1 AS new_id FROM box",
+        "traj_sample": f"{_WITH} SELECT traj_id, n_segs FROM box ORDER BY md5(CAST(traj_id AS VARCHAR)) LIMIT 10",
+        "dist_point_segment": seg(near, "dist"),
+        "dist_segment_match": seg(f"greatest({_four(SEG, PS)})", "dist"),
+        "dist_segment_min": seg(f"CASE WHEN {_cross(SEG, PS)} THEN 0.0 ELSE least({_four(SEG, PS)}) END", "dist"),
+        "dist_point_mbr": box(pmbr, "dist"),
+        "dist_point_mbr_max": box(f"sqrt(pow(greatest(abs({PX} - xmin), abs({PX} - xmax)), 2) + pow(greatest(abs({PY} - ymin), abs({PY} - ymax)), 2))", "dist"),
+        "dist_mbr_mbr": box(bmbr, "dist"),
+        "dist_circle_mbr": box(f"greatest({pmbr} - {R}, 0.0)", "dist"),
+        "mbr_overlap_ratio": box(f"CASE WHEN {w} > 0 AND {h} > 0 THEN {w} * {h} / ((xmax - xmin) * (ymax - ymin)) ELSE 0.0 END", "ratio"),
+        "mbr_contains": box_flag(inside),
+        "mbr_intersects": box_flag(f"xmin <= {x9} AND xmax >= {x0} AND ymin <= {y9} AND ymax >= {y0}"),
+        "circle_intersects": box_flag(f"{pmbr} <= {R}"),
+        "seg_intersects_seg": flag(_cross(SEG, PS)),
+        "range_mbr": flag(in_box),
+        "circle_range": flag(f"{near} <= {R}"),
+        "circle_range_conj": flag(f"{near} <= {R} AND {other} <= {R}"),
+        "anti_circle_range": flag(f"NOT ({near} <= {R})"),
+        "ids_within": f"{_WITH} SELECT DISTINCT traj_id FROM seg WHERE {near} <= {R}",
+        "ids_prunable": f"{_WITH} SELECT traj_id FROM seg GROUP BY 1 HAVING max({near}) > {R}",
+        "idset_difference": box_flag(f"NOT ({inside})"),
+        "knn_point": f"{_WITH} SELECT traj_id, seg_id, round({near}, 6) AS dist FROM seg ORDER BY dist, traj_id, seg_id LIMIT 10",
+        "knn_point_ties": f"{_WITH} SELECT traj_id, seg_id, round({near}, 6) AS dist FROM seg QUALIFY rank() OVER (ORDER BY round({near}, 6)) <= 10",
+        "str_cells": f"{cells} SELECT traj_id, cell FROM c2",
+        "str_cell_stats": f"{cells} SELECT cell, count(*) AS n, round(min(xmin), 6) AS xmin, round(max(ymax), 6) AS ymax FROM c2 GROUP BY 1",
+        "haversine": f"{_WITH} SELECT traj_id, seg_id, round(2 * 6371e3 * atan2(sqrt({a}), sqrt(1 - {a})) / 1000, 3) AS km FROM seg",
+        "zorder_encode": f"SELECT p_partkey, {z} AS z FROM part",
+        "topk_hausdorff": haus, "topk_hausdorff_pruned": haus, "topk_hausdorff_mbr": haus, "topk_hausdorff_pivot": haus,
+        "topk_frechet": fre, "topk_frechet_pruned": fre, "topk_frechet_mbr": fre,
+    }
