@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from .shared import slices
 RATE, RECALL, SAMPLED, MAX_REPEATS, WALKS = 0.2, 0.95, 3, 96, 4
 #: Documents searched side by side, as numbers of words only.
 TOGETHER = 1_024
-BLOCK_ITEMS, BLOCK_CHARS, TABLE_BITS = 4_096, 8_000_000, 22
+BLOCK_ITEMS, BLOCK_CHARS, TABLE_BITS = 2_048, 8_000_000, 22
 _MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…*_#|-–—"
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 LEAK = "doc_id long, item_id long, item_words long, edits long, start_word long"
@@ -109,9 +108,12 @@ class ItemIndex:
     """Everything that a task needs of a block of items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, recall: float = RECALL, sampled: int = SAMPLED):
+        if len(items) > 8_192:
+            raise ValueError("a block has 8192 items at most")
         memo = WordHashes()
         self.rate, self.sampled = rate, sampled
         self.items = [(i, w) for i, t in items if len(w := word_hashes(t, memo))]
+        self.lists = [w.tolist() for _, w in self.items]
         mask = np.uint64((1 << TABLE_BITS) - 1)
         self.runs, self.words = np.zeros(1 << TABLE_BITS, bool), np.zeros(1 << TABLE_BITS, bool)
         for _, w in self.items:
@@ -189,8 +191,11 @@ class ItemIndex:
             return [[] for _ in texts]
         mask = np.uint64((1 << TABLE_BITS) - 1)
         hits = [(self.runs[shingles(w) & mask], self.words[w & mask]) if len(w) else None for w in texts]
+        sums = [(int(h[0].sum()), int(h[1].sum())) if h else (0, 0) for h in hits]
         for (size, longest, edits, _), tables in zip(self.classes, self.tables, strict=True):
-            found = [(k, self._starts(*h, len(texts[k]), size, longest, edits)) for k, h in enumerate(hits) if h]
+            few = int(self.rate * size)
+            least = (size - 2 - 3 * few, 0) if size - 2 - 3 * few >= 1 else (size - few, 1)
+            found = [(k, self._starts(*h, len(texts[k]), size, longest, edits)) for k, h in enumerate(hits) if h and sums[k][least[1]] >= least[0]]
             found = [(k, at) for k, at in found if len(at)]
             if not found:
                 continue
@@ -201,22 +206,31 @@ class ItemIndex:
             start = np.concatenate([at + b for (_, at), b in zip(found, base, strict=False)])
             together = max(1, 2_000_000 // (3 * size))  # what is embedded at once stays bounded
             for cut in range(0, len(start), together):
-                part, pairs = slice(cut, cut + together), set()
+                part, pairs = slice(cut, cut + together), [np.zeros(0, np.int64)]
+                own, place = owner[part], local[part]
                 for walk in range(WALKS):
                     embedded = embed(words, start[part], size, walk)
                     for repeat, keys, members in tables:
                         if repeat % WALKS == walk:
                             got = self._keys(embedded, repeat)
                             low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                            for k in np.flatnonzero(high > low):
-                                pairs.update((int(owner[cut + k]), int(m), int(local[cut + k])) for m in members[low[k] : high[k]])
-                for (text, member), ats in groupby(sorted(pairs), key=lambda p: p[:2]):
+                            k = np.flatnonzero(high > low)
+                            n = high[k] - low[k]
+                            each = np.repeat(k, n)
+                            member = members[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[k], n)]
+                            pairs.append((((own[each] << 13) | member) << 36) | place[each])  # texts, items and words are fewer
+                pairs = np.unique(np.concatenate(pairs))
+                group = pairs >> 36
+                cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+                for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                    text, member = int(group[first]) >> 13, int(group[first]) & 8_191
+                    ats = (pairs[first:last] & ((1 << 36) - 1)).tolist()
                     item, best = self.items[member][1], out[text]
                     most = int(self.rate * len(item))
                     if best.get(member, (most + 1,))[0] == 0 or first_only and best:
                         continue
                     spans: list[list[int]] = []  # places close to one another are looked at together
-                    for _, _, at in ats:
+                    for at in ats:
                         begin, end = max(0, at - 2 * most - 1), at + len(item) + 2 * most + 1
                         if spans and begin <= spans[-1][1]:
                             spans[-1][1] = end
@@ -224,7 +238,8 @@ class ItemIndex:
                             spans.append([begin, end])
                     for begin, end in spans:
                         region = texts[text][begin:end]
-                        if np.isin(item, region).sum() < len(item) - most:
+                        there = set(region.tolist())
+                        if sum(map(there.__contains__, self.lists[member])) < len(item) - most:
                             continue  # each word that isn't there is an edit
                         cost, stop = best_run(item, region)
                         if cost <= most and (cost, begin + stop) < best.get(member, (most + 1, 0)):
