@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
-from .operators import search, trajectories as T
-from .sources.trajectories import event_segments
+from .operators import search, shapes, trajectories as T
+from .sources.trajectories import event_points, event_segments, points_to_segments
 
 QUERY = 7
 SEG, BOX = ("x1", "y1", "x2", "y2"), ("xmin", "ymin", "xmax", "ymax")
@@ -64,8 +64,66 @@ def _summary(s, d):
     return one[0].union(one[1]).union(one[2])
 
 
+#: A closed ring for the polygon queries.
+RING = [(100.0, 10.0), (500.0, 20.0), (450.0, 90.0), (250.0, 40.0), (120.0, 95.0), (100.0, 10.0)]
+
+
+def _polygon(s, d):
+    return event_points(s, d).where(shapes.polygon_contains(RING, "x", "y")).select("event_id")
+
+
+def _knn_embedding(s, d):
+    v = s.read.parquet(f"{d}/embeddings.parquet")
+    return shapes.nearest_vectors(v, v.where("vec_id = 0").first()["embedding"], 10)
+
+
+def _estimate(s, d):
+    """Selectivity of a box: overlap ratio of each trajectory's box weighted by its segments."""
+    b = _boxed(s, d)
+    return b.agg(F.round(F.sum(G.overlap_ratio(BOX, PB) * F.col("n_segs")) / F.sum("n_segs"), 6).alias("share"))
+
+
+def _orders(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    p = o.select(F.col("o_custkey").alias("traj_id"), "o_orderdate", "o_orderkey", F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01")).cast("double").alias("x"), (F.col("o_totalprice").cast("double") / 1000).alias("y"))
+    return points_to_segments(p, "o_orderdate", "o_orderkey").groupBy("traj_id").agg(F.count("*").alias("n_segs"), F.round(F.min("x1"), 6).alias("first_x"))
+
+
+def _bitmap(s, d):
+    ids = event_segments(s, d).select("traj_id")
+    parts = ids.groupBy(F.bitmap_bucket_number("traj_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("traj_id")).alias("bits"))
+    return parts.agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
+def _bloom(s, d):
+    n, p = 10_000, 0.1
+    bits = shapes.bloom_bits(n, p)
+    return s.range(1).select(F.lit(bits).cast("long").alias("bits"), F.lit(shapes.bloom_hashes(n, bits)).cast("long").alias("hashes"))
+
+
+def _sized_knn(s, d):
+    """Boxes in order of distance until they hold 100 segments before them."""
+    b = _boxed(s, d).select("traj_id", "n_segs", F.round(G.point_mbr(PX, PY, BOX), 6).alias("dist"))
+    w = Window.orderBy("dist", "traj_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = b.orderBy("dist", "traj_id").limit(100)  # each box has a segment at least
+    return near.withColumn("before", F.coalesce(F.sum("n_segs").over(w), F.lit(0))).where("before < 100").select("traj_id", "dist")
+
+
 def queries() -> dict:
     return {
+        "polygon_contains": _polygon,
+        "knn_embedding": _knn_embedding,
+        "range_estimate": _estimate,
+        "traj_orders": _orders,
+        "idset_count": _bitmap,
+        "bloom_size": _bloom,
+        "knn_point_sized": _sized_knn,
+        "rdp_simplify": lambda s, d: shapes.simplified(event_points(s, d), "event_id", 5.0),
+        "geojson_cells": lambda s, d: shapes.geojson(_cells(s, d).groupBy("cell").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax")), "cell"),
+        "traj_generate": lambda s, d: shapes.random_walks(s, 100, 20),
+        "bloom_filter": lambda s, d: shapes.bloom_filter(event_segments(s, d).select("traj_id").distinct(), "traj_id", 10_000, 0.1).select("bucket", F.bitmap_count("bits").alias("bits_set")),
+        "dist_segment_mbr": _seg(lambda: G.segment_mbr(SEG, PB), "dist"),
+        "segment_covers_mbr": _flag(lambda: G.segment_covers_mbr(SEG, PB, 150.0)),
         "traj_segments": lambda s, d: event_segments(s, d).select("traj_id", "seg_id", *[F.round(c, 6).alias(c) for c in SEG]),
         "traj_mbr": lambda s, d: _boxed(s, d).select("traj_id", "n_segs", *[F.round(c, 6).alias(c) for c in BOX]),
         "traj_stats": lambda s, d: T.stats(event_segments(s, d)).select("traj_id", "n_segs", F.round("total_length", 4).alias("total_length"), F.round("span", 6).alias("span")),
@@ -158,7 +216,21 @@ def oracle_sql() -> dict:
     part = lambda c: f"SELECT '{c}' AS measure, round(avg({c}), 4) AS avg, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, round(stddev_pop({c}), 4) AS std, round(CAST(median({c}) AS DOUBLE), 4) AS median FROM st"
     a = "(pow(sin(radians(y2 / 10 - y1 / 10) / 2), 2) + cos(radians(y1 / 10)) * cos(radians(y2 / 10)) * pow(sin(radians(x2 / 10 - x1 / 10) / 2), 2))"
     z = " + ".join(f"(((p_size >> {b}) & 1) << {2 * b + 1}) + ((((p_partkey % 64) >> {b}) & 1) << {2 * b})" for b in range(6))
+    corners = [(x0, y0), (x9, y0), (x9, y9), (x0, y9)]
+    sides = [(*a1, *b1) for a1, b1 in zip(corners, corners[1:] + corners[:1], strict=True)]
+    rings = list(zip(RING, RING[1:]))
+    on_ring = " OR ".join(f"({_turn(u, v, ('x', 'y'))} = 0 AND x BETWEEN least({u[0]}, {v[0]}) AND greatest({u[0]}, {v[0]}) AND y BETWEEN least({u[1]}, {v[1]}) AND greatest({u[1]}, {v[1]}))" for u, v in rings)
+    odd = " + ".join(f"(CASE WHEN (y < {u[1]}) <> (y < {v[1]}) AND x < {u[0]} + (y - {u[1]}) * (({v[0]} - {u[0]}) / ({v[1]} - {u[1]})) THEN 1 ELSE 0 END)" for u, v in rings)
     return {
+        "polygon_contains": f"{_WITH} SELECT event_id FROM pts WHERE ({odd}) % 2 = 1 AND NOT ({on_ring})",
+        "knn_embedding": "SELECT e.vec_id, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS dist FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q ORDER BY dist, e.vec_id LIMIT 10",
+        "range_estimate": f"{_WITH} SELECT round(sum(n_segs * CASE WHEN {w} > 0 AND {h} > 0 THEN {w} * {h} / ((xmax - xmin) * (ymax - ymin)) ELSE 0.0 END) / sum(n_segs), 6) AS share FROM box",
+        "traj_orders": "WITH o AS (SELECT o_custkey AS traj_id, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x FROM orders) SELECT traj_id, count(*) - 1 AS n_segs, round(min(x), 6) AS first_x FROM o GROUP BY 1 HAVING count(*) > 1",
+        "idset_count": f"{_WITH} SELECT count(DISTINCT traj_id) AS n FROM seg",
+        "bloom_size": "SELECT CAST(ceil(-10000 * ln(0.1) / pow(ln(2), 2)) AS BIGINT) AS bits, CAST(ceil(floor(ceil(-10000 * ln(0.1) / pow(ln(2), 2)) / 10000) * ln(2)) AS BIGINT) AS hashes",
+        "knn_point_sized": f"{_WITH} SELECT traj_id, dist FROM (SELECT traj_id, dist, coalesce(sum(n_segs) OVER (ORDER BY dist, traj_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT traj_id, n_segs, round({pmbr}, 6) AS dist FROM box)) WHERE b < 100",
+        "dist_segment_mbr": seg(f"CASE WHEN {in_box} THEN 0.0 ELSE least({', '.join(_four(SEG, e) for e in sides)}) END", "dist"),
+        "segment_covers_mbr": flag(f"greatest({', '.join(_ps(c[0], c[1], *SEG) for c in corners)}) <= 150.0"),
         "traj_segments": f"{_WITH} SELECT traj_id, seg_id, {rounded(SEG)} FROM seg",
         "traj_mbr": f"{_WITH} SELECT traj_id, n_segs, {rounded(BOX)} FROM box",
         "traj_stats": f"{_WITH} SELECT traj_id, n_segs, round(total_length, 4) AS total_length, round(span, 6) AS span FROM st",
