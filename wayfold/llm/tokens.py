@@ -67,7 +67,10 @@ class PieceEncoder:
         if found is None:
             if len(self.words) >= self.limit:
                 self.words.clear()
-            spelt = word if word.isascii() and word.isalpha() else "".join(map(self.letters.__getitem__, word.encode()))
+            if word[0] == " " and word.isascii():
+                spelt = "\u0120" + word[1:]
+            else:
+                spelt = word if word.isascii() and word.isalpha() else "".join(map(self.letters.__getitem__, word.encode()))
             found = self.words[word] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 
@@ -105,21 +108,19 @@ class PieceEncoder:
         else:
             first, *pieces = _CUT.split(text)
             head, pieces = self._whole(first), [p[1:] for p in pieces]
-        memo = self.memo
-        try:
-            return head + b"".join([memo[p] for p in pieces])
-        except KeyError:
-            if len(memo) >= self.limit:
-                memo.clear()
-        out = [head]
-        for p in pieces:
-            got = memo.get(p)
+        memo, limit = self.memo, self.limit
+        out = list(map(memo.get, pieces))
+        for k in [k for k, got in enumerate(out) if got is None]:
+            p = pieces[k]
+            got = memo.get(p)  # the text may have it more than once
             if got is None:
                 got = self._piece(p)
-                if len(p) <= 64 and len(memo) < self.limit:
+                if len(p) <= 64:
+                    if len(memo) >= limit:
+                        memo.clear()
                     memo[p] = got
-            out.append(got)
-        return b"".join(out)
+            out[k] = got
+        return head + b"".join(out)
 
 
 @lru_cache(maxsize=4)
