@@ -14,7 +14,6 @@ from functools import lru_cache
 
 #: The pre-tokeniser pattern of the lower-casing vocabulary that drops white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_UNSURE = re.compile(r"\A | \Z| \s|\s ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _PUNCT = frozenset(".,!?;:")
 
@@ -27,18 +26,43 @@ def byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+class _Unclean(Exception):
+    """A piece has white space at an end, so its neighbours may change it."""
+
+
+class _Memo(dict):
+    """Results of ``make`` by piece, in two generations of at most ``limit`` entries: a full one
+    replaces the older, from which pieces that occur again come back. Long pieces aren't kept."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class PieceEncoder:
     """``ids(text)``: little-endian unsigned 32-bit ids as bytes, equal to the library's.
 
     mode "spaced": byte-level pre-tokens that start with a space. Between a character that isn't
     white space and " x" there is always a pre-token boundary, as white space stands only at
-    the start of the pattern's alternatives.
+    the start of the pattern's alternatives. The same holds before and after a single newline
+    between two such characters.
     mode "bare": white space is dropped, so every space or newline is a boundary.
     mode "whole": anything else; texts go to the library as they are.
-    The memo is emptied when it has ``limit`` entries, so memory is bounded.
+    The memo holds at most twice ``limit`` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
@@ -56,7 +80,7 @@ class PieceEncoder:
         if plain and ends and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == WORD_PATTERN and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and not steps[1]["use_regex"] and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.mode = "bare"
         self.letters, self.model = byte_letters(), self.tok.model
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self._clean if self.mode == "spaced" else self._piece, limit)
         self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -65,15 +89,18 @@ class PieceEncoder:
     def _pretoken(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= self.limit:
+            if len(self.words) >= 20_000:
                 self.words.clear()
-            if word[0] == " " and word.isascii():
-                spelt = "\u0120" + word[1:]
-            else:
-                spelt = word if word.isascii() and word.isalpha() else "".join(map(self.letters.__getitem__, word.encode()))
-            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            found = self.words[word] = self._tokenize(word)
         return found
 
+    def _tokenize(self, word: str) -> bytes:
+        if word[0] == " " and word.isascii():
+            spelt = "\u0120" + word[1:]
+        else:
+            spelt = word if word.isascii() and word.isalpha() else "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         """A piece that isn't in the memo. Latin letters with at most one mark at the end are
         one or two pre-tokens; the model gets these at once, all else takes the library's way."""
@@ -86,9 +113,26 @@ class PieceEncoder:
                 return self._piece(first) + b"".join(self._pretoken("\n") + self._bare(r) for r in rest)
         if not body.isalpha() or max(body) > "\xff":
             return self._whole(piece if self.mode == "bare" else " " + piece)
+        if mark:
+            return self.memo[body] + self._pretoken(mark)
         if self.mode == "bare":
-            return self._pretoken(body.lower()) + (self._pretoken(mark) if mark else b"")
-        return self._pretoken(" " + body) + (self._pretoken(mark) if mark else b"")
+            low = body.lower()
+            return self.memo[low] if low != body else self._tokenize(body)
+        return self._tokenize(" " + body)
+
+    def _clean(self, piece: str) -> bytes:
+        """A piece after a space, or after nothing if it starts with a newline."""
+        if piece.isalpha() and piece.isascii():
+            return self._tokenize(" " + piece)
+        if not piece or piece[-1].isspace():
+            raise _Unclean
+        if piece[0] == "\n":
+            if piece[1].isspace():
+                raise _Unclean
+            return self._pretoken("\n") + self._bare(piece[1:])
+        if piece[0].isspace():
+            raise _Unclean
+        return self._piece(piece)
 
     def _bare(self, part: str) -> bytes:
         """As ``_piece`` for what follows a single newline."""
@@ -101,26 +145,19 @@ class PieceEncoder:
         if self.mode == "whole" or not text:
             return self._whole(text) if text else b""
         if self.mode == "bare":
-            head, pieces = b"", text.replace("\n", " ").split(" ")
-        elif _UNSURE.search(text) is None:
-            first, *pieces = text.split(" ")
-            head = self._whole(first)
-        else:
-            first, *pieces = _CUT.split(text)
-            head, pieces = self._whole(first), [p[1:] for p in pieces]
-        memo, limit = self.memo, self.limit
-        out = list(map(memo.get, pieces))
-        for k in [k for k, got in enumerate(out) if got is None]:
-            p = pieces[k]
-            got = memo.get(p)  # the text may have it more than once
-            if got is None:
-                got = self._piece(p)
-                if len(p) <= 64:
-                    if len(memo) >= limit:
-                        memo.clear()
-                    memo[p] = got
-            out[k] = got
-        return head + b"".join(out)
+            return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+        tail = b""
+        if text[-1] == "\n" and len(text) > 1 and not text[-2].isspace():
+            text, tail = text[:-1], self._pretoken("\n")
+        # a single newline starts a piece; two in a row stay inside one
+        first, *pieces = text.replace("\n", " \n").replace(" \n \n", "\n\n").split(" ")
+        if first and not first[-1].isspace():
+            try:
+                return self._whole(first) + b"".join(map(self.memo.__getitem__, pieces)) + tail
+            except _Unclean:
+                pass
+        first, *pieces = _CUT.split(text)
+        return self._whole(first) + b"".join([self._piece(p[1:]) for p in pieces]) + tail
 
 
 @lru_cache(maxsize=4)
