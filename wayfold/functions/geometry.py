@@ -125,3 +125,15 @@ def zorder(values: list, bits: int) -> Column:
         for v in values:
             out = F.shiftleft(out, 1).bitwiseOR(F.shiftright(F.col(v).cast("long"), b).bitwiseAND(F.lit(1).cast("long")))
     return out
+
+
+def zorder_decode(z: Column, count: int, bits: int) -> list[Column]:
+    """The ``count`` integers that ``zorder`` interleaved."""
+    one = F.lit(1).cast("long")
+    out = []
+    for k in range(count):
+        value = F.lit(0).cast("long")
+        for b in range(bits):
+            value = value.bitwiseOR(F.shiftleft(F.shiftright(z, b * count + count - 1 - k).bitwiseAND(one), b))
+        out.append(value)
+    return out

@@ -109,8 +109,42 @@ def _sized_knn(s, d):
     return near.withColumn("before", F.coalesce(F.sum("n_segs").over(w), F.lit(0))).where("before < 100").select("traj_id", "dist")
 
 
+def _near_query(s, d, radius=0.25, anti=False):
+    """Segments within the radius of some segment of the query, or of none."""
+    g = event_segments(s, d)
+    q = search.query_array(g.where(F.col("traj_id") == QUERY))  # bounded by MAX_QUERY_SEGMENTS
+    parts = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(row, SEG, strict=True)]) for row in q])
+    near = F.exists(parts, lambda x: G.segment_min(SEG, tuple(x[n] for n in SEG)) <= radius)
+    return g.where(~near if anti else near).select("traj_id", "seg_id")
+
+
+def _within(s, d):
+    return event_segments(s, d).where(G.point_segment(PX, PY, SEG) <= R).select("traj_id").distinct()
+
+
+def _holding(s, d):
+    return _boxed(s, d).where(G.mbr_contains(BOX, PX, PY)).select("traj_id")
+
+
+def _zorder_decoded(s, d):
+    p = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_size").cast("long").alias("a"), (F.col("p_partkey") % 64).alias("b"))
+    return p.select("p_partkey", *[c.alias(n) for n, c in zip("ab", G.zorder_decode(G.zorder(["a", "b"], 6), 2, 6), strict=True)])
+
+
 def queries() -> dict:
     return {
+        "range_any_segment": _near_query,
+        "anti_range_any_segment": lambda s, d: _near_query(s, d, anti=True),
+        "idset_intersection": lambda s, d: _within(s, d).intersect(_holding(s, d)),
+        "idset_union": lambda s, d: _within(s, d).union(_holding(s, d)).distinct(),
+        "zorder_decode": _zorder_decoded,
+        "data_bounds": lambda s, d: _boxed(s, d).agg(*[F.round((F.min if n.endswith("min") else F.max)(n), 6).alias(n) for n in BOX]),
+        "dist_segment_circle": _seg(lambda: F.greatest(G.point_segment(PX, PY, SEG) - R, F.lit(0.0)), "dist"),
+        "segment_measures": lambda s, d: event_segments(s, d).select("traj_id", "seg_id", F.round(G.point_point(*SEG), 6).alias("length"), F.round((F.col("x1") + F.col("x2")) / 2, 6).alias("cx"), F.round((F.col("y1") + F.col("y2")) / 2, 6).alias("cy")),
+        "mbr_area": _box(lambda: (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")), "area"),
+        "point_dominates": lambda s, d: event_points(s, d).where((F.col("x") <= PX) & (F.col("y") <= PY)).select("event_id"),
+        "span_percentiles": lambda s, d: T.stats(event_segments(s, d)).agg(*[F.round(F.percentile("span", F.lit(q)), 4).alias(n) for q, n in ((0.05, "p5"), (0.95, "p95"))]),
+        "ranked_range": lambda s, d: _boxed(s, d).select("traj_id", F.round(G.point_mbr(PX, PY, BOX), 6).alias("dist")).where(F.col("dist") <= R).orderBy("dist", "traj_id"),
         "polygon_contains": _polygon,
         "knn_embedding": _knn_embedding,
         "range_estimate": _estimate,
@@ -221,7 +255,23 @@ def oracle_sql() -> dict:
     rings = list(zip(RING, RING[1:]))
     on_ring = " OR ".join(f"({_turn(u, v, ('x', 'y'))} = 0 AND x BETWEEN least({u[0]}, {v[0]}) AND greatest({u[0]}, {v[0]}) AND y BETWEEN least({u[1]}, {v[1]}) AND greatest({u[1]}, {v[1]}))" for u, v in rings)
     odd = " + ".join(f"(CASE WHEN (y < {u[1]}) <> (y < {v[1]}) AND x < {u[0]} + (y - {u[1]}) * (({v[0]} - {u[0]}) / ({v[1]} - {u[1]})) THEN 1 ELSE 0 END)" for u, v in rings)
+    least = _four(("t.x1", "t.y1", "t.x2", "t.y2"), ("q.x1", "q.y1", "q.x2", "q.y2"))
+    meets = _cross(("t.x1", "t.y1", "t.x2", "t.y2"), ("q.x1", "q.y1", "q.x2", "q.y2"))
+    any_near = f"EXISTS (SELECT 1 FROM seg q WHERE q.traj_id = {QUERY} AND ({meets} OR least({least}) <= 0.25))"
+    within, holding = f"SELECT traj_id FROM seg WHERE {near} <= {R}", f"SELECT traj_id FROM box WHERE {inside}"
     return {
+        "range_any_segment": f"{_WITH} SELECT traj_id, seg_id FROM seg t WHERE {any_near}",
+        "anti_range_any_segment": f"{_WITH} SELECT traj_id, seg_id FROM seg t WHERE NOT {any_near}",
+        "idset_intersection": f"{_WITH} {within} INTERSECT {holding}",
+        "idset_union": f"{_WITH} {within} UNION {holding}",
+        "zorder_decode": "SELECT p_partkey, CAST(p_size AS BIGINT) AS a, CAST(p_partkey % 64 AS BIGINT) AS b FROM part",
+        "data_bounds": f"{_WITH} SELECT round(min(xmin), 6) AS xmin, round(min(ymin), 6) AS ymin, round(max(xmax), 6) AS xmax, round(max(ymax), 6) AS ymax FROM box",
+        "dist_segment_circle": seg(f"greatest({near} - {R}, 0.0)", "dist"),
+        "segment_measures": f"{_WITH} SELECT traj_id, seg_id, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 6) AS length, round((x1 + x2) / 2, 6) AS cx, round((y1 + y2) / 2, 6) AS cy FROM seg",
+        "mbr_area": box("(xmax - xmin) * (ymax - ymin)", "area"),
+        "point_dominates": f"{_WITH} SELECT event_id FROM pts WHERE x <= {PX} AND y <= {PY}",
+        "span_percentiles": f"{_WITH} SELECT round(quantile_cont(span, 0.05), 4) AS p5, round(quantile_cont(span, 0.95), 4) AS p95 FROM st",
+        "ranked_range": f"{_WITH} SELECT traj_id, round({pmbr}, 6) AS dist FROM box WHERE round({pmbr}, 6) <= {R}",
         "polygon_contains": f"{_WITH} SELECT event_id FROM pts WHERE ({odd}) % 2 = 1 AND NOT ({on_ring})",
         "knn_embedding": "SELECT e.vec_id, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS dist FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q ORDER BY dist, e.vec_id LIMIT 10",
         "range_estimate": f"{_WITH} SELECT round(sum(n_segs * CASE WHEN {w} > 0 AND {h} > 0 THEN {w} * {h} / ((xmax - xmin) * (ymax - ymin)) ELSE 0.0 END) / sum(n_segs), 6) AS share FROM box",
