@@ -109,11 +109,23 @@ def _sized_knn(s, d):
     return near.withColumn("before", F.coalesce(F.sum("n_segs").over(w), F.lit(0))).where("before < 100").select("traj_id", "dist")
 
 
+def _query_parts(g):
+    """The query's segments as one array of structs; bounded by MAX_QUERY_SEGMENTS."""
+    q = search.query_array(g.where(F.col("traj_id") == QUERY))
+    return F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(row, SEG, strict=True)]) for row in q])
+
+
+def _directed(s, d):
+    """Largest distance of a trajectory's segments to their nearest segment of the query."""
+    g = event_segments(s, d)
+    near = F.array_min(F.transform(_query_parts(g), lambda x: G.segment_min(SEG, tuple(x[n] for n in SEG))))
+    return g.groupBy("traj_id").agg(F.round(F.max(near), 6).alias("dist"))
+
+
 def _near_query(s, d, radius=0.25, anti=False):
     """Segments within the radius of some segment of the query, or of none."""
     g = event_segments(s, d)
-    q = search.query_array(g.where(F.col("traj_id") == QUERY))  # bounded by MAX_QUERY_SEGMENTS
-    parts = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(row, SEG, strict=True)]) for row in q])
+    parts = _query_parts(g)
     near = F.exists(parts, lambda x: G.segment_min(SEG, tuple(x[n] for n in SEG)) <= radius)
     return g.where(~near if anti else near).select("traj_id", "seg_id")
 
@@ -133,6 +145,7 @@ def _zorder_decoded(s, d):
 
 def queries() -> dict:
     return {
+        "dist_directed": _directed,
         "range_any_segment": _near_query,
         "anti_range_any_segment": lambda s, d: _near_query(s, d, anti=True),
         "idset_intersection": lambda s, d: _within(s, d).intersect(_holding(s, d)),
@@ -260,6 +273,7 @@ def oracle_sql() -> dict:
     any_near = f"EXISTS (SELECT 1 FROM seg q WHERE q.traj_id = {QUERY} AND ({meets} OR least({least}) <= 0.25))"
     within, holding = f"SELECT traj_id FROM seg WHERE {near} <= {R}", f"SELECT traj_id FROM box WHERE {inside}"
     return {
+        "dist_directed": f"{_WITH} SELECT traj_id, round(max(dist), 6) AS dist FROM (SELECT t.traj_id, t.seg_id, min(CASE WHEN {meets} THEN 0.0 ELSE least({least}) END) AS dist FROM seg t CROSS JOIN (SELECT * FROM seg WHERE traj_id = {QUERY}) q GROUP BY 1, 2) GROUP BY 1",
         "range_any_segment": f"{_WITH} SELECT traj_id, seg_id FROM seg t WHERE {any_near}",
         "anti_range_any_segment": f"{_WITH} SELECT traj_id, seg_id FROM seg t WHERE NOT {any_near}",
         "idset_intersection": f"{_WITH} {within} INTERSECT {holding}",
