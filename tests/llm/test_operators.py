@@ -150,6 +150,21 @@ def test_fingerprint_links_equal_brute_force(spark, monkeypatch, hot):
     assert {(mine[a] == mine[b]) == (want[a] == want[b]) for a in range(len(fps)) for b in range(a)} == {True}
 
 
+def test_fingerprint_links_between_hot_neighbours(spark, monkeypatch):
+    """Two hot values one bit apart whose only link is that of their pivots."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", 2)
+    parts = [list(range(21)), list(range(21, 42)), list(range(42, 63))]
+    monkeypatch.setattr(simhash, "plan", lambda *_: list(zip(parts, (0, 1, 1), strict=True)))
+    pivots = [0, 1 << 0 | 1 << 21 | 1 << 42 | 1 << 43]
+    rows = []
+    for k, pivot in enumerate(pivots):
+        rows += [(pivot, 9)] + [(pivot ^ (1 << (2 + 8 * k + j) | 1 << (3 + 8 * k + j) | 3 << (44 + 8 * k + j)), 1) for j in range(5)]
+    df = spark.createDataFrame([(f, n, k) for k, (f, n) in enumerate(rows)], "fp long, n_docs long, doc long")
+    got = {r["node"]: r["root"] for r in components(simhash.fingerprint_links(df, 4)).collect()}
+    assert len(set(_near([f for f, _ in rows], 4))) == 1
+    assert len({got.get(f, f) for f, _ in rows}) == 1
+
+
 def test_near_duplicates_edge_cases(docs, empty):
     rows = simhash.near_duplicates(docs, words=4).collect()
     assert len(rows) == docs.count()

@@ -16,8 +16,8 @@ Search, over distinct fingerprints only, so copies are one row from there on:
    candidates are checked bit by bit inside the join, so only links leave it.
 
 Part values that very many fingerprints share get a pivot, the member with the most documents.
-Members within ``radius`` of it link to it and needn't be compared with each other, for they are
-connected already; all others are compared with everything. No pair of different components is
+Members and probes within ``radius`` of it link to it and needn't be compared with each other, for
+they are connected already; all others are compared with everything. No pair of different components is
 lost and no group is expanded into all pairs.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
@@ -176,7 +176,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         return df.join(hot, ["part", "key"], "left").withColumn("close", close)
 
     left, right = flagged(probes, "a"), flagged(index.drop("n_docs"), "b")
-    stars = right.where("close and b <> pivot").select(F.col("pivot").alias("a"), "b")
+    stars = left.where("close and a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b"))  # probes hold each own value too
     right = right.drop("pivot")
     rest = left.where("not close").drop("close", "pivot").join(right.drop("close"), ["part", "key"]).where(near & (F.col("a") != F.col("b"))).select("a", "b")
     cross = left.where("close").drop("close", "pivot").join(right.where("not close").drop("close"), ["part", "key"]).where(near & (F.col("a") != F.col("b"))).select("a", "b")
