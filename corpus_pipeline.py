@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontaminate, packing, quality_model, quality_rules, simhash
+from wayfold.llm import decontaminate, near_copies, packing, quality_model, quality_rules
 from wayfold.llm.shared import materialise
 
 
@@ -24,10 +24,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4 on five-word shingles: the document with the smallest id of each group stays,
-    repeated rows of it once; rows without an id stay as they are."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    """Near copies, of similarity 0.8 on five-word shingles: the document with the smallest id of each
+    group stays, repeated rows of it once; rows without an id stay as they are. SimHash's links at
+    the radius of operator 4 are much stricter than that and aren't used."""
+    gone = near_copies.groups(docs).where("doc_id <> group_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
 
@@ -42,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs).drop("ids")
 
 
-STAGES = [("quality classifier", classify), ("quality rules", rules), ("simhash near-dedup", deduplicate), ("benchmark decontamination", decontaminated), ("packing", pack)]
+STAGES = [("quality classifier", classify), ("quality rules", rules), ("near-dedup", deduplicate), ("benchmark decontamination", decontaminated), ("packing", pack)]
 
 ORACLE_SQL = None
 

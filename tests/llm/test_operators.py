@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from wayfold.llm import decontaminate, packing, quality_model, quality_rules, shards, shared, simhash, token_counts, token_files, url_trust, warc
+from wayfold.llm import decontaminate, near_copies, packing, quality_model, quality_rules, shards, shared, simhash, token_counts, token_files, url_trust, warc
 from wayfold.llm.components import components
 from wayfold.llm.tokens import PieceEncoder
 
@@ -174,6 +174,33 @@ def test_near_duplicates_edge_cases(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark, docs, empty):
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    texts = []
+    for n in (40, 120, 500):
+        for _ in range(3):
+            base = [rnd.choice("abcdefghij") * 3 + str(rnd.randrange(10**6)) for _ in range(n)]
+            for edits in (0, 0, n // 100, n // 60, n // 40, n // 20):
+                v = list(base)
+                for at in rnd.sample(range(n), edits):
+                    v[at] = "new" + str(rnd.randrange(10**6))
+                texts.append(" ".join(v))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in near_copies.groups(table).collect()} == dict(enumerate(root))
+    assert {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, table, "").collect()} == set(root)
+    by = {r["doc_id"]: r["group_id"] for r in near_copies.groups(docs).collect()}
+    assert [by[i] for i in (0, 1, 2)] == [0, 0, 0] and by[5] == 4 and by[9] == 8
+    assert near_copies.groups(empty).count() == 0
+
+
 def test_leaks_with_edits(spark, docs, empty):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
