@@ -220,6 +220,17 @@ def test_leaks_with_edits(spark, docs, empty):
     assert decontaminate.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_count_filter_keeps_items_longer_than_the_shortest():
+    """A 20-word item with 4 spaced edits has 6 shingles left; a 19-word item of its class needs 8."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((19, 20))]
+    index, memo = decontaminate.ItemIndex(items), decontaminate.WordHashes()
+    assert len(index.classes) == 1
+    words = items[1][1].split()
+    texts = [" ".join(f"new{t}x{j}" if j in (3, 7, 11, 15) else w for j, w in enumerate(words)) for t in range(40)]
+    found = index.find([decontaminate.word_hashes(t, memo) for t in texts])
+    assert sum(bool(f) for f in found) >= 20
+
+
 def test_quality_model_held_out(spark, docs, empty):
     docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_model.score_documents(docs_, labels).where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()

@@ -127,6 +127,7 @@ class ItemIndex:
         for members in classes.values():
             sizes = [len(self.items[k][1]) for k in members]
             self.classes.append((min(sizes), max(sizes), int(rate * max(sizes)), members))
+        self.needs = [self._need([len(self.items[k][1]) for k in c[3]]) for c in self.classes]
         self.repeats = self._repeats(recall)
         self.tables = [self._tables(c) for c in self.classes]
 
@@ -172,12 +173,14 @@ class ItemIndex:
                 out.append((repeat, keys[order], np.array(members)[order]))
         return sorted(out, key=lambda t: t[0])
 
-    def _starts(self, hits3: np.ndarray, hits1: np.ndarray, n: int, size: int, longest: int, edits: int) -> np.ndarray:
+    def _need(self, sizes: list[int]) -> tuple[int, int]:
+        """(shingles, 0) or (words, 1) that each item of a class keeps; no monotone function of its size."""
+        need = min(n - 2 - 3 * int(self.rate * n) for n in sizes)
+        return (need, 0) if need >= 1 else (min(n - int(self.rate * n) for n in sizes), 1)
+
+    def _starts(self, hits3: np.ndarray, hits1: np.ndarray, least: tuple[int, int], longest: int, edits: int) -> np.ndarray:
         """Places from which on enough of the benchmark's shingles stand."""
-        few = int(self.rate * size)
-        need, hits, slack = size - 2 - 3 * few, hits3, 2
-        if need < 1:
-            need, hits, slack = size - few, hits1, 0
+        need, hits, slack = least[0], (hits3, hits1)[least[1]], (2, 0)[least[1]]
         if need > len(hits):
             return np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(hits)])
@@ -192,10 +195,8 @@ class ItemIndex:
         mask = np.uint64((1 << TABLE_BITS) - 1)
         hits = [(self.runs[shingles(w) & mask], self.words[w & mask]) if len(w) else None for w in texts]
         sums = [(int(h[0].sum()), int(h[1].sum())) if h else (0, 0) for h in hits]
-        for (size, longest, edits, _), tables in zip(self.classes, self.tables, strict=True):
-            few = int(self.rate * size)
-            least = (size - 2 - 3 * few, 0) if size - 2 - 3 * few >= 1 else (size - few, 1)
-            found = [(k, self._starts(*h, len(texts[k]), size, longest, edits)) for k, h in enumerate(hits) if h and sums[k][least[1]] >= least[0]]
+        for (size, longest, edits, _), least, tables in zip(self.classes, self.needs, self.tables, strict=True):
+            found = [(k, self._starts(*h, least, longest, edits)) for k, h in enumerate(hits) if h and sums[k][least[1]] >= least[0]]
             found = [(k, at) for k, at in found if len(at)]
             if not found:
                 continue
