@@ -1,7 +1,7 @@
 """Near copies by the exact Jaccard similarity of word shingles.
 
 Words are those of operator 4. Two documents link if the sets of their ``words``-word shingles (a
-shorter text is one shingle) have a Jaccard similarity of ``SIMILARITY`` at least; a group is what
+shorter text is one shingle) have a Jaccard similarity of OVER / UNDER (0.8) at least; a group is what
 links reach. A SimHash of 64 bits can't serve here: at 0.8 its fingerprints differ in about ten
 bits, a radius at which its search finds no select part.
 
@@ -28,7 +28,7 @@ from .shared import materialise, slices
 from .simhash import _LOWER
 
 WORDS, BANDS, ROWS, SEED = 5, 24, 6, 42
-#: SIMILARITY as a fraction.
+#: The least similarity as a fraction.
 OVER, UNDER = 4, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
