@@ -5,41 +5,50 @@ n words if some run of its words is within ``rate * n`` word edits of the item.
 
 1. Count filter, without loss: k edits leave at least n - 2 - 3k of an item's n - 2 three-word
    shingles, so only places are looked at from which on, in n + k words, that many shingles of the
-   benchmark stand (for short items, n - k single words).
+   items of a size class stand (for short items, n - k single words). Before the first of these at
+   most 3k words of the item can stand, hence windows begin at all places up to 3k words before.
 2. Windows there, as long as the shortest item of a size class, are embedded by the CGK random
    walk: step j writes the current word and moves on if a random function of (j, word) says so.
    A few edits leave most positions of the embedding alike, so edit distance becomes Hamming
    distance.
-3. Repetitions sample a few positions each, from one of several walks; equal samples are candidates. The
-   number of repetitions comes from the target recall and from the share of positions that edits
-   at the full rate change, measured on the items themselves.
+3. Repetitions sample a few positions each, from one of several walks; equal samples are candidates.
+   Each size class has the repetitions that its own items need: TRIALS of them are edited at the full
+   rate by substitutions, by insertions, by deletions and by a mixture, and repetitions are added
+   until the worst of the four reaches the target recall. A class that can't reach it is an error.
 4. Candidates are verified by exact edit distance of the item to the best run of words near it.
 
-Items are taken in blocks of bounded size that tasks get with their code; documents are scanned
-once a block and never shuffled, so a passage that very many documents share costs no more than
-others, and no document's text leaves its row.
+Different item texts are dealt to blocks by hash; each block's index is a file in the shared folder.
+Documents are scanned once, never shuffled, and a task holds one block at a time, so neither the
+number of items nor a passage that very many documents share makes a hot spot; no document's text
+leaves its row. Items with equal texts are one until the end, where each of their ids gets a row.
 
 Defined results: null, empty and blank documents and items match nothing; equal items are found
 each; rows with equal ids are judged one by one; extra columns are ignored (``leaks``) or pass
-by (``leak_column``); an empty table gives no rows.
+by (``decontaminate``); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import AtomicFile, materialise, read_file, scratch, slices
 
-RATE, RECALL, SAMPLED, MAX_REPEATS, WALKS = 0.2, 0.95, 3, 96, 4
-#: Documents searched side by side, as numbers of words only.
-TOGETHER = 1_024
-BLOCK_ITEMS, BLOCK_CHARS, TABLE_BITS = 2_048, 8_000_000, 22
+RATE, RECALL = 0.2, 0.98
+#: Most positions of a sample; walks; rounds of them until fewer positions are sampled.
+SAMPLED, WALKS, ROUNDS = 3, 4, 16
+#: Trials of each kind of edits in each size class; words by which windows of trials are off at most.
+TRIALS, NEAR = 200, 6
+#: Documents searched side by side, as numbers of words only; windows embedded at once.
+TOGETHER, WINDOWS = 1_024, 100_000
+BLOCK_ITEMS, BLOCK_CHARS, TABLE_BITS, CLASSES = 2_048, 8_000_000, 20, 64
 _MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…*_#|-–—"
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 LEAK = "doc_id long, item_id long, item_words long, edits long, start_word long"
@@ -78,19 +87,36 @@ def shingles(words: np.ndarray) -> np.ndarray:
         return _mix(words[:-2] * np.uint64(3) + _mix(words[1:-1]) * np.uint64(5) + _mix(words[2:] ^ _A) * np.uint64(7))
 
 
-def embed(words: np.ndarray, starts: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """CGK embeddings, 3 * size positions, of the runs of ``size`` words from each start."""
-    padded = np.append(words, np.zeros(size + 1, np.uint64))
-    at, out = np.zeros(len(starts), np.int64), np.zeros((len(starts), 3 * size), np.uint64)
+def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, walk: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Rows ``wanted`` (default: all) of the 2 * size positions of the CGK embeddings of the runs of
+    ``size`` words from each start; words from ``ends`` on are blank."""
+    rows = {j: k for k, j in enumerate(range(2 * size) if wanted is None else wanted.tolist())}
+    length, last = np.minimum(ends - starts, size), len(words) - 1
+    at, out = np.zeros(len(starts), np.int64), np.zeros((len(rows), len(starts)), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(3 * size):
-            x = np.where(at < size, padded[starts + np.minimum(at, size)], np.uint64(0))
-            out[:, j] = x
-            step = _mix(x + np.uint64((seed * 1_000_003 + j) * 2 + 1) * _B) & np.uint64(1)
-            at = np.minimum(at + step.astype(np.int64), size)
+        for j in range(max(rows, default=-1) + 1):
+            x = np.where(at < length, words[np.minimum(starts + at, last)], np.uint64(0))
+            if j in rows:
+                out[rows[j]] = x
+            step = _mix(x + np.uint64((walk * 1_000_003 + j) * 2 + 1) * _B) & np.uint64(1)
+            at += step.astype(np.int64)
     return out
 
 
+def edited(words: np.ndarray, edits: int, kind: str, rng) -> np.ndarray:
+    """``words`` after exactly so many edits at different places: sub, ins, del, or a third of each (mix)."""
+    kinds = [("sub", "ins", "del")[k % 3] if kind == "mix" else kind for k in range(edits)]
+    change = dict(zip(rng.choice(len(words), edits, replace=False).tolist(), kinds, strict=True))
+    new, out = iter(rng.integers(1, 1 << 62, edits, dtype=np.uint64).tolist()), []
+    for k, word in enumerate(words.tolist()):
+        what = change.get(k)
+        if what in ("sub", "ins"):
+            out.append(next(new))
+        if what in (None, "ins"):
+            out.append(word)
+    return np.array(out, np.uint64)
+
+
 def best_run(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """(least edits between the item and any run of the region, end of the first such run)."""
     across = np.arange(len(region) + 1)
@@ -104,195 +130,257 @@ def best_run(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+class SizeClass:
+    """Items of similar length: their walks, and for each repetition the sorted samples of all."""
+
+    def __init__(self, members: list[int], items: list[np.ndarray], rate: float, recall: float):
+        sizes = [len(items[k]) for k in members]
+        self.members, self.size, self.longest, self.edits = np.array(members), min(sizes), max(sizes), int(rate * max(sizes))
+        least = min(n - 2 - 3 * int(rate * n) for n in sizes)  # no monotone function of n, so each size counts
+        self.need, self.by_word = (least, False) if least >= 1 else (min(n - int(rate * n) for n in sizes), True)
+        self.reach = self.longest + self.edits - (0 if self.by_word else 2)
+        self.before = self.edits * (1 if self.by_word else 3)
+        words = [items[k] for k in members]
+        self.samples = self._samples(words, rate, recall)
+        self.walks: list[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
+        flat, ends = np.concatenate(words), np.cumsum(sizes)
+        for walk, chosen in enumerate(self.samples):
+            wanted = np.unique(np.concatenate(chosen))
+            embedded, tables = embed(flat, ends - sizes, ends, self.size, walk, wanted), []
+            for c in chosen:
+                rows = np.searchsorted(wanted, c)
+                keys = sample_keys(embedded, rows)
+                order = np.argsort(keys, kind="stable")
+                tables.append((rows, keys[order], self.members[order]))
+            self.walks.append((wanted, tables))
+
+    def _trials(self, words: list[np.ndarray], rate: float):
+        """Texts with edited items: (all words, starts and ends of the items, starts of the windows
+        and the first window of each trial, trials by kind). Windows begin up to NEAR words from the
+        run, as far as the count filter lets them."""
+        rng, texts, items, starts, first, here = np.random.default_rng(7), [], [], [], [], 0
+        tried = [words[k * len(words) // TRIALS] for k in range(TRIALS)]
+        for kind in ("sub", "ins", "del", "mix"):
+            for w in tried:
+                run = edited(w, int(rate * len(w)), kind, rng)
+                kept = np.isin(run, w) if self.by_word else np.isin(shingles(run), shingles(w))
+                last = int(np.argmax(kept)) if len(kept) else 0
+                near = [k for k in range(-NEAR, NEAR + 1) if last - self.before <= k <= last]
+                blank = rng.integers(1, 1 << 62, NEAR + self.size, dtype=np.uint64)
+                texts += [w, blank[:NEAR], run, blank[NEAR:]]
+                first.append(len(starts))
+                items += [(here, here + len(w))] * len(near)
+                starts += [here + len(w) + NEAR + k for k in near]
+                here += sum(map(len, texts[-4:]))
+        return np.concatenate(texts), np.array(items), np.array(starts), np.array(first)
+
+    def _samples(self, words: list[np.ndarray], rate: float, recall: float) -> list[list[np.ndarray]]:
+        """Positions of each repetition of each walk: as few as find ``recall`` of the trials in the worst
+        kind of edits, and as many positions at once as still reach that in ROUNDS rounds of walks."""
+        flat, items, starts, first = self._trials(words, rate)
+        for sampled in range(SAMPLED, 0, -1):
+            rng, found, out = np.random.default_rng(1_000 * self.size + sampled), np.zeros(len(first), bool), [[] for _ in range(WALKS)]
+            for _ in range(1 if sampled > 1 else 64):
+                new = [[rng.choice(2 * self.size, sampled, replace=2 * self.size < sampled) for _ in range(ROUNDS)] for _ in range(WALKS)]
+                hits = np.zeros((ROUNDS, len(first)), bool)
+                for walk, chosen in enumerate(new):
+                    wanted = np.unique(np.concatenate(chosen))
+                    same = embed(flat, items[:, 0], items[:, 1], self.size, walk, wanted) == embed(flat, starts, starts + self.size, self.size, walk, wanted)
+                    for k, c in enumerate(chosen):
+                        hits[k] |= np.logical_or.reduceat(same[np.searchsorted(wanted, c)].all(0), first)
+                for k in range(ROUNDS):
+                    found |= hits[k]
+                    out = [o + [n[k]] for o, n in zip(out, new, strict=True)]
+                    if found.reshape(4, -1).mean(1).min() >= recall:
+                        return out
+        raise ValueError(f"items of {self.size} words don't reach a recall of {recall} at a rate of {rate}")
+
+
+def sample_keys(embedded: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A number for the words that each window has at the sampled positions."""
+    out = np.zeros(embedded.shape[1], np.uint64)
+    with np.errstate(over="ignore"):
+        for k, row in enumerate(rows):
+            out = _mix(out * np.uint64(31) + embedded[row] + np.uint64(k + 1))
+    return out
+
+
 class ItemIndex:
-    """Everything that a task needs of a block of items."""
+    """Everything that a task needs of a block of items, given as (key, text)."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, recall: float = RECALL, sampled: int = SAMPLED):
-        if len(items) > 8_192:
-            raise ValueError("a block has 8192 items at most")
+    def __init__(self, items: list[tuple[str, str | None]], rate: float = RATE, recall: float = RECALL):
         memo = WordHashes()
-        self.rate, self.sampled = rate, sampled
+        self.rate = rate
         self.items = [(i, w) for i, t in items if len(w := word_hashes(t, memo))]
-        self.lists = [w.tolist() for _, w in self.items]
-        mask = np.uint64((1 << TABLE_BITS) - 1)
-        self.runs, self.words = np.zeros(1 << TABLE_BITS, bool), np.zeros(1 << TABLE_BITS, bool)
-        for _, w in self.items:
-            self.runs[shingles(w) & mask] = True
-            self.words[w & mask] = True
-        #: size class -> (shortest, longest, edits of the longest, place in items)
         classes: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(self.items):
-            classes.setdefault(int(math.log(len(w)) / math.log(1.15)), []).append(k)
-        self.classes = []
-        for members in classes.values():
-            sizes = [len(self.items[k][1]) for k in members]
-            self.classes.append((min(sizes), max(sizes), int(rate * max(sizes)), members))
-        self.needs = [self._need([len(self.items[k][1]) for k in c[3]]) for c in self.classes]
-        self.repeats = self._repeats(recall)
-        self.tables = [self._tables(c) for c in self.classes]
-
-    def _repeats(self, recall: float) -> int:
-        """Repetitions that find ``recall`` of the items with edits at the full rate."""
-        rng, same = np.random.default_rng(7), []
-        for _, w in self.items[:256]:
-            k, n = int(self.rate * len(w)), len(w)
-            if not k:
-                continue
-            changed = w.copy()
-            hit = rng.choice(n, k, replace=False)
-            changed[hit] = rng.integers(1, 1 << 62, k, dtype=np.uint64)
-            keep = np.ones(n, bool)
-            keep[hit[::3]] = False  # a third of the edits leave a word out
-            changed = np.append(changed[keep], np.zeros(n - keep.sum(), np.uint64))
-            one = np.zeros(1, np.int64)
-            same.append(float((embed(w, one, n, 0) == embed(changed, one, n, 0)).mean()))
-        found = [max(s, 0.05) ** self.sampled for s in same]
-        for repeats in range(4, MAX_REPEATS):
-            if not found or np.mean([1 - (1 - p) ** repeats for p in found]) >= recall:
-                return repeats
-        return MAX_REPEATS
-
-    def _keys(self, embedded: np.ndarray, repeat: int) -> np.ndarray:
-        chosen = np.random.default_rng(1_000 + repeat).choice(embedded.shape[1], self.sampled, replace=embedded.shape[1] < self.sampled)
-        out = np.zeros(len(embedded), np.uint64)
-        with np.errstate(over="ignore"):
-            for c in chosen:
-                out = _mix(out * np.uint64(31) + embedded[:, c] + np.uint64(c))
-        return out
-
-    def _tables(self, of: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
-        size, _, _, members = of
-        words = np.concatenate([self.items[k][1][:size] for k in members])
-        starts = np.arange(len(members)) * size
-        out = []
-        for walk in range(WALKS):
-            embedded = embed(words, starts, size, walk)
-            for repeat in range(walk, self.repeats, WALKS):
-                keys = self._keys(embedded, repeat)
-                order = np.argsort(keys, kind="stable")
-                out.append((repeat, keys[order], np.array(members)[order]))
-        return sorted(out, key=lambda t: t[0])
-
-    def _need(self, sizes: list[int]) -> tuple[int, int]:
-        """(shingles, 0) or (words, 1) that each item of a class keeps; no monotone function of its size."""
-        need = min(n - 2 - 3 * int(self.rate * n) for n in sizes)
-        return (need, 0) if need >= 1 else (min(n - int(self.rate * n) for n in sizes), 1)
-
-    def _starts(self, hits3: np.ndarray, hits1: np.ndarray, least: tuple[int, int], longest: int, edits: int) -> np.ndarray:
-        """Places from which on enough of the benchmark's shingles stand."""
-        need, hits, slack = least[0], (hits3, hits1)[least[1]], (2, 0)[least[1]]
-        if need > len(hits):
-            return np.zeros(0, np.int64)
-        total = np.concatenate([[0], np.cumsum(hits)])
-        at = np.flatnonzero(hits)
-        return at[total[np.minimum(at + longest + edits - slack, len(hits))] - total[at] >= need]
+            classes.setdefault(min(CLASSES - 1, int(math.log(len(w)) / math.log(1.15))), []).append(k)
+        self.classes = [SizeClass(members, [w for _, w in self.items], rate, recall) for members in classes.values()]
+        self.places: list[tuple[np.ndarray, np.ndarray]] = []  # of shingles and of words: where, bits of classes
+        for what in (shingles, lambda w: w):
+            bits: dict[int, int] = {}
+            for c, of in enumerate(self.classes):
+                for k in of.members.tolist():
+                    for h in (what(self.items[k][1]) & np.uint64((1 << TABLE_BITS) - 1)).tolist():
+                        bits[h] = bits.get(h, 0) | 1 << c
+            self.places.append((np.fromiter(bits, np.int64, len(bits)), np.fromiter(bits.values(), np.uint64, len(bits))))
+        self._open()
+
+    def _open(self) -> None:
+        self.lists = [w.tolist() for _, w in self.items]
+        self.tables = [np.zeros(1 << TABLE_BITS, np.uint64) for _ in self.places]
+        for table, (where, bits) in zip(self.tables, self.places, strict=True):
+            table[where] = bits
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("lists", "tables")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._open()
 
     def find(self, texts: list[np.ndarray], first_only: bool = False) -> list[list[tuple[int, int, int]]]:
         """For each text (place in items, edits, end of the run) of its leaks, the best run of each item."""
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        if not self.items:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not self.items or not sizes.sum():
             return [[] for _ in texts]
-        mask = np.uint64((1 << TABLE_BITS) - 1)
-        hits = [(self.runs[shingles(w) & mask], self.words[w & mask]) if len(w) else None for w in texts]
-        sums = [(int(h[0].sum()), int(h[1].sum())) if h else (0, 0) for h in hits]
-        for (size, longest, edits, _), least, tables in zip(self.classes, self.needs, self.tables, strict=True):
-            found = [(k, self._starts(*h, least, longest, edits)) for k, h in enumerate(hits) if h and sums[k][least[1]] >= least[0]]
-            found = [(k, at) for k, at in found if len(at)]
-            if not found:
-                continue
-            words = np.concatenate([np.append(texts[k], np.zeros(size, np.uint64)) for k, _ in found])
-            base = np.cumsum([0] + [len(texts[k]) + size for k, _ in found])
-            owner = np.concatenate([np.full(len(at), k) for k, at in found])
-            local = np.concatenate([at for _, at in found])
-            start = np.concatenate([at + b for (_, at), b in zip(found, base, strict=False)])
-            together = max(1, 2_000_000 // (3 * size))  # what is embedded at once stays bounded
-            for cut in range(0, len(start), together):
-                part, pairs = slice(cut, cut + together), [np.zeros(0, np.int64)]
-                own, place = owner[part], local[part]
-                for walk in range(WALKS):
-                    embedded = embed(words, start[part], size, walk)
-                    for repeat, keys, members in tables:
-                        if repeat % WALKS == walk:
-                            got = self._keys(embedded, repeat)
-                            low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                            k = np.flatnonzero(high > low)
-                            n = high[k] - low[k]
-                            each = np.repeat(k, n)
-                            member = members[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[k], n)]
-                            pairs.append((((own[each] << 13) | member) << 36) | place[each])  # texts, items and words are fewer
-                pairs = np.unique(np.concatenate(pairs))
-                group = pairs >> 36
-                cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-                for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-                    text, member = int(group[first]) >> 13, int(group[first]) & 8_191
-                    ats = (pairs[first:last] & ((1 << 36) - 1)).tolist()
-                    item, best = self.items[member][1], out[text]
-                    most = int(self.rate * len(item))
-                    if best.get(member, (most + 1,))[0] == 0 or first_only and best:
-                        continue
-                    spans: list[list[int]] = []  # places close to one another are looked at together
-                    for at in ats:
-                        begin, end = max(0, at - 2 * most - 1), at + len(item) + 2 * most + 1
-                        if spans and begin <= spans[-1][1]:
-                            spans[-1][1] = end
-                        else:
-                            spans.append([begin, end])
-                    for begin, end in spans:
-                        region = texts[text][begin:end]
-                        there = set(region.tolist())
-                        if sum(map(there.__contains__, self.lists[member])) < len(item) - most:
-                            continue  # each word that isn't there is an edit
-                        cost, stop = best_run(item, region)
-                        if cost <= most and (cost, begin + stop) < best.get(member, (most + 1, 0)):
-                            best[member] = (cost, begin + stop)
+        words, ends = np.concatenate(texts), np.cumsum(sizes)
+        mask, hits = np.uint64((1 << TABLE_BITS) - 1), []
+        runs = self.tables[0][shingles(words) & mask]
+        for k in (1, 2):  # shingles don't go on in the next text
+            cross = ends[:-1] - k
+            runs[cross[(cross >= 0) & (cross < len(runs))]] = 0
+        for bits in (runs, self.tables[1][words & mask] if any(c.by_word for c in self.classes) else runs[:0]):
+            at = np.flatnonzero(bits)
+            hits.append((at, bits[at], np.searchsorted(ends, at, "right")))
+        for c, of in enumerate(self.classes):
+            at, bits, owner = hits[of.by_word]
+            mine = (bits >> np.uint64(c)) & np.uint64(1) > 0
+            at, owner = at[mine], owner[mine]
+            stop = np.minimum(at + of.reach, ends[owner])
+            enough = np.searchsorted(at, stop) - np.arange(len(at)) >= of.need
+            at, owner = at[enough], owner[enough]
+            if len(at):
+                edge = np.zeros(len(words) + 1, np.int64)
+                np.add.at(edge, np.maximum(at - of.before, (ends - sizes)[owner]), 1)
+                np.add.at(edge, at + 1, -1)
+                starts = np.flatnonzero(np.cumsum(edge) > 0)
+                for cut in range(0, len(starts), WINDOWS):
+                    self._search(of, words, ends, sizes, starts[cut : cut + WINDOWS], out, first_only)
         return [[(m, c, e) for m, (c, e) in sorted(d.items())] for d in out]
 
-
-def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS):
-    """Lists of (item_id, text); each is bounded in number and, on average, in characters."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    def _search(self, of: SizeClass, words, ends, sizes, starts, out: list[dict], first_only: bool) -> None:
+        """Candidates of the windows from ``starts`` on, verified into ``out``."""
+        owner = np.searchsorted(ends, starts, "right")
+        place, pairs = starts - (ends - sizes)[owner], [np.zeros(0, np.int64)]
+        for walk, (wanted, tables) in enumerate(of.walks):
+            embedded = embed(words, starts, ends[owner], of.size, walk, wanted)
+            for rows, keys, members in tables:
+                got = sample_keys(embedded, rows)
+                low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+                k = np.flatnonzero(high > low)
+                n = high[k] - low[k]
+                each = np.repeat(k, n)
+                member = members[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[k], n)]
+                pairs.append(np.unique((((owner[each] << 17) | member) << 34) | place[each]))  # texts, items and words are fewer
+        pairs = np.unique(np.concatenate(pairs))
+        group = pairs >> 34
+        cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            text, member = int(group[first]) >> 17, int(group[first]) & 0x1FFFF
+            item, best = self.items[member][1], out[text]
+            most = int(self.rate * len(item))
+            if best.get(member, (most + 1,))[0] == 0 or first_only and best:
+                continue
+            spans: list[list[int]] = []  # places close to one another are looked at together
+            for at in (pairs[first:last] & ((1 << 34) - 1)).tolist():
+                begin, end = max(0, at - 3 * most - 1), at + len(item) + 3 * most + 1
+                if spans and begin <= spans[-1][1]:
+                    spans[-1][1] = end
+                else:
+                    spans.append([begin, end])
+            base = int(ends[text] - sizes[text])
+            for begin, end in spans:
+                region = words[base + begin : min(base + end, int(ends[text]))]
+                there = set(region.tolist())
+                if sum(map(there.__contains__, self.lists[member])) < len(item) - most:
+                    continue  # each word that isn't there is an edit
+                cost, stop = best_run(item, region)
+                if cost <= most and (cost, begin + stop) < best.get(member, (most + 1, 0)):
+                    best[member] = (cost, begin + stop)
+
+
+# --- blocks of items --------------------------------------------------------------------------
+
+
+def different_items(benchmark: DataFrame) -> DataFrame:
+    """key, text of each different text that isn't null."""
+    text = F.col("text").cast("string")
+    return benchmark.select(F.md5(text.cast("binary")).alias("key"), text.alias("text")).where("text is not null").distinct()
+
+
+def index_files(benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> tuple[str, list[str]]:
+    """(folder, names) of the indexes of all items, a file for each block; blocks hold about
+    BLOCK_ITEMS items and BLOCK_CHARS characters on average, and equal texts once."""
+    items = materialise(different_items(benchmark), "different-items")
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(-(-n // block_items), -(-chars // block_chars))
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    blocks, folder = max(-(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS)), scratch(benchmark.sparkSession, "item-index")
+
+    def build(key, table):
+        index = ItemIndex(sorted(zip(table["key"].to_pylist(), table["text"].to_pylist(), strict=True)), rate, recall)
+        out = AtomicFile(folder, f"block-{key[0].as_py():06d}", ".index")
+        out.write(pickle.dumps(index))
+        return pa.table({"name": pa.array([out.close()]), "block": pa.array([key[0].as_py()], pa.int64())})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, blocks))))
+    made = materialise(dealt.groupBy("block").applyInArrow(build, "name string, block long"), "item-blocks")
+    return folder, [r["name"] for r in made.orderBy("block").collect()]
+
+
+@lru_cache(maxsize=2)
+def _index(folder: str, name: str) -> ItemIndex:
+    with read_file(folder, name) as f:
+        return pickle.loads(f.read())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
     """One row per document and item that it leaks: LEAK."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    out = None
-    for block in item_blocks(benchmark):
-
-        def run(batches, block=block):
-            index, memo = ItemIndex(block, rate, recall), WordHashes()
-            for part in slices(batches, TOGETHER):
-                rows = []
-                found = index.find([word_hashes(t.as_py(), memo) for t in part.column(1)])
-                for doc, some in zip(part.column(0).to_pylist(), found, strict=True):
-                    for member, edits, end in some:
-                        item, words = index.items[member]
-                        rows.append((doc, item, len(words), edits, max(0, end - len(words))))
+    folder, names = index_files(benchmark, rate, recall)
+    found = "doc_id long, key string, item_words long, edits long, start_word long"
+
+    def run(batches):
+        memo, kinds = WordHashes(), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        for part in slices(batches, TOGETHER):
+            texts, ids = [word_hashes(t.as_py(), memo) for t in part.column(1)], part.column(0).to_pylist()
+            for name in names:
+                index = _index(folder, name)
+                rows = [(doc, index.items[m][0], len(index.items[m][1]), edits, max(0, end - len(index.items[m][1]))) for doc, some in zip(ids, index.find(texts), strict=True) for m, edits, end in some]
                 if rows:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in LEAK.split(", ")])
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in found.split(", ")])
 
-        found = texts.mapInArrow(run, LEAK)
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], LEAK) if out is None else out
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, found)
+    ids = benchmark.select(F.md5(F.col("text").cast("string").cast("binary")).alias("key"), F.col("item_id").cast("long").alias("item_id"))
+    return rows.join(ids, "key").select(*[f.split()[0] for f in LEAK.split(", ")])
 
 
-def leak_column(text, block: list, rate: float = RATE, recall: float = RECALL):
-    """A boolean column: whether a text leaks any item of a block."""
+def leak_column(text, index: tuple[str, list[str]]):
+    """A boolean column: whether a text leaks any item of the indexes that ``index_files`` made."""
     from pyspark.sql.functions import arrow_udf
 
+    folder, names = index
+
     @arrow_udf("boolean")
     def leaky(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index, memo = ItemIndex(block, rate, recall), WordHashes()
+        memo = WordHashes()
         for part in parts:
             out: list[bool] = []
             for at in range(0, len(part), TOGETHER):
                 texts = [word_hashes(t.as_py(), memo) for t in part.slice(at, TOGETHER)]
-                out += map(bool, index.find(texts, True))
+                found = [False] * len(texts)
+                for name in names:
+                    found = [a or bool(b) for a, b in zip(found, _index(folder, name).find(texts, True), strict=True)]
+                out += found
             yield pa.array(out, pa.bool_())
 
     return leaky(text.cast("string"))
@@ -300,6 +388,4 @@ def leak_column(text, block: list, rate: float = RATE, recall: float = RECALL):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
     """The documents, with all their columns, that leak no item."""
-    for block in item_blocks(benchmark):
-        docs = docs.where(~leak_column(docs["text"], block, rate, recall))
-    return docs
+    return docs.where(~leak_column(docs["text"], index_files(benchmark, rate, recall)))
