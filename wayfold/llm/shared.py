@@ -15,14 +15,16 @@ _SCRATCH: list[tuple[SparkSession, str]] = []
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
-    temporary folder takes its place and becomes the checkpoint folder of the session.
+    It is read from ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in
+    tests, a temporary folder takes its place and becomes the checkpoint folder of the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not root:
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
             sc.setCheckpointDir(root)
     elif sc.getCheckpointDir() is None:
@@ -67,6 +69,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def open_fs(path: str):
     """(pyarrow file system, path in it), for use in tasks."""
     from pyarrow import fs

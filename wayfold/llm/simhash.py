@@ -43,25 +43,34 @@ CHECK_COST = 0.03
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes | None, words: int) -> int:
-    """Signed 64-bit fingerprint of a UTF-8 text."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text in its order, repeats included; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or b"").translate(_LOWER).split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(words, len(tokens))
     starts, ends = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
-    n, ones = len(starts), np.zeros(BITS, np.int64)
-    for at in range(0, n, 65_536):
-        part = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + 65_536], ends[at : at + 65_536], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that over half the hashes have."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        part = hashes[at : at + 65_536].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: bytes | None, words: int) -> int:
+    """Signed 64-bit fingerprint of a UTF-8 text."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
