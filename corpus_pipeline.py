@@ -1,13 +1,16 @@
 """The corpus pipeline: stages over documents, each over all that its predecessor kept.
 
 Every stage but the last returns the columns of documents. ORACLE_SQL is None: fingerprints and
-token ids aren't expressible in SQL; the operators are tested against brute force instead.
+token ids aren't expressible in SQL; stages and ``run`` are tested against plain Python instead.
+
+Defined results, for every stage: null and empty texts are texts without words (the rules reject
+them); very long texts are judged whole; repeated rows are judged one by one but for the near-dedup
+stage; extra columns pass by, whatever their names, up to packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wayfold.llm import decontaminate, near_copies, packing, quality_model, quality_rules
 from wayfold.llm.shared import materialise
@@ -24,12 +27,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies, of similarity 0.8 on five-word shingles: the document with the smallest id of each
-    group stays, repeated rows of it once; rows without an id stay as they are. SimHash's links at
-    the radius of operator 4 are much stricter than that and aren't used."""
-    gone = near_copies.groups(docs).where("doc_id <> group_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
+    """Operator 4, then what it can't find: of each group of near copies, of similarity 0.8 or more on
+    five-word shingles, the text with the smallest doc_id stays, null ids last. Rows equal in doc_id and
+    text count once; different texts with one doc_id are judged apart."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs).drop("ids")
 
 
-STAGES = [("quality classifier", classify), ("quality rules", rules), ("near-dedup", deduplicate), ("benchmark decontamination", decontaminated), ("packing", pack)]
+STAGES = [("quality classifier", classify), ("quality rules", rules), ("SimHash near-dedup", deduplicate), ("benchmark decontamination", decontaminated), ("packing", pack)]
 
 ORACLE_SQL = None
 
