@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+CELLS = 1_000_000
+
 
 def points_to_segments(p: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Distances of points (n, 2) to segments (m, 4)."""
@@ -21,23 +23,83 @@ def match_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(one, np.maximum(points_to_segments(b[:, :2], a), points_to_segments(b[:, 2:], a)).T)
 
 
+def cross_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair of segments meets."""
+    turn = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    p, q, r, s = a[:, None, :2], a[:, None, 2:], b[None, :, :2], b[None, :, 2:]
+    t1, t2, t3, t4 = turn(p, q, r), turn(p, q, s), turn(r, s, p), turn(r, s, q)
+    on = lambda t, u, v, w: (t == 0) & ((w >= np.minimum(u, v)) & (w <= np.maximum(u, v))).all(-1)
+    return (t1 * t2 < 0) & (t3 * t4 < 0) | on(t1, p, q, r) | on(t2, p, q, s) | on(t3, r, s, p) | on(t4, r, s, q)
+
+
+def gap_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least distances of all pairs of segments."""
+    ends = [points_to_segments(a[:, :2], b), points_to_segments(a[:, 2:], b), points_to_segments(b[:, :2], a).T, points_to_segments(b[:, 2:], a).T]
+    return np.where(cross_matrix(a, b), 0.0, np.minimum.reduce(ends))
+
+
+def box_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the boxes of all pairs of segments."""
+    low = lambda s: np.minimum(s[:, :2], s[:, 2:])
+    high = lambda s: np.maximum(s[:, :2], s[:, 2:])
+    apart = np.maximum(np.maximum(low(a)[:, None] - high(b)[None], low(b)[None] - high(a)[:, None]), 0)
+    return np.sqrt((apart * apart).sum(2))
+
+
+def blocks(a: np.ndarray, b: np.ndarray):
+    """Slices of ``a`` of which the matrix with ``b`` has about CELLS cells, so memory doesn't grow with both."""
+    step = max(1, CELLS // len(b))
+    return (a[k : k + step] for k in range(0, len(a), step))
+
+
+def directed(a: np.ndarray, b: np.ndarray, matrix=gap_matrix) -> float:
+    """Largest of the least distances of the segments of ``a`` to ``b``."""
+    return float(max(matrix(part, b).min(1).max() for part in blocks(a, b)))
+
+
 def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
-    m = match_matrix(a, b)
-    return float(max(m.min(1).max(), m.min(0).max()))
+    far, near = 0.0, np.full(len(b), np.inf)
+    for part in blocks(a, b):
+        m = match_matrix(part, b)
+        far, near = max(far, m.min(1).max()), np.minimum(near, m.min(0))
+    return float(max(far, near.max()))
+
+
+def match_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Segment match distances of rows of the same place."""
+
+    def ends(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+        d = s[:, 2:] - s[:, :2]
+        square = (d * d).sum(1)
+        t = np.clip(((p - s[:, :2]) * d).sum(1) / np.where(square == 0, 1.0, square), 0, 1) * (square > 0)
+        off = p - (s[:, :2] + t[:, None] * d)
+        return np.sqrt((off * off).sum(1))
+
+    return np.maximum(np.maximum(ends(a[:, :2], b), ends(a[:, 2:], b)), np.maximum(ends(b[:, :2], a), ends(b[:, 2:], a)))
 
 
 def frechet(a: np.ndarray, b: np.ndarray) -> float:
-    """Discrete Frechet distance with match distances as cost."""
-    m = match_matrix(a, b)
-    row = np.maximum.accumulate(m[0])
-    for cost in m[1:]:
-        best = np.minimum(row, np.concatenate([[np.inf], row[:-1]]))
-        new = np.empty_like(row)
-        left = np.inf
-        for j in range(len(cost)):
-            left = new[j] = max(cost[j], min(best[j], left))
-        row = new
-    return float(row[-1])
+    """Discrete Frechet distance with match distances as cost, by antidiagonals: three of them are held,
+    and the costs of one are taken from a matrix if that is small, else computed for it."""
+    n, m = len(a), len(b)
+    whole = match_matrix(a, b) if n * m <= CELLS else None
+    last, before = np.full(n, np.inf), np.full(n, np.inf)  # by row; the diagonals of k - 1 and of k - 2
+    for k in range(n + m - 1):
+        i = np.arange(max(0, k - m + 1), min(n, k + 1))
+        cost = whole[i, k - i] if whole is not None else match_pairs(a[i], b[k - i])
+        here = np.full(n, np.inf)
+        if k == 0:
+            here[0] = cost[0]
+        else:
+            up = np.where(i > 0, np.minimum(last[i - 1], before[i - 1]), np.inf)  # (i - 1, j) and (i - 1, j - 1)
+            here[i] = np.maximum(cost, np.minimum(last[i], up))
+        last, before = here, last
+    return float(last[n - 1])
+
+
+def points_distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two point lists as segments: the smaller of the two directed least distances."""
+    return min(directed(a, b), directed(b, a))
 
 
 def simplify(points: np.ndarray, eps: float) -> np.ndarray:
@@ -55,4 +117,5 @@ def simplify(points: np.ndarray, eps: float) -> np.ndarray:
     return np.array(sorted(keep))
 
 
-DISTANCES = {"hausdorff": hausdorff, "frechet": frechet}
+#: Metrics and other measures of two trajectories; a function of two arrays serves as well.
+DISTANCES = {"hausdorff": hausdorff, "frechet": frechet, "points": points_distance}

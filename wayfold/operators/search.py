@@ -1,82 +1,102 @@
-"""Exact top-k similar trajectories by interchangeable strategies."""
+"""Distances to query trajectories and exact top-k by scan, for one query or many."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import mbr_mbr
-from ..functions.kernels import DISTANCES
-from .trajectories import boxes, sample
+from ..functions.kernels import DISTANCES, box_gaps
+from .metric import arrays
+from .trajectories import assembled
+
+#: Segments of all queries that tasks get at once; more queries go in further blocks.
+BLOCK_SEGMENTS = 100_000
+
 
-#: A query is one trajectory; its segments go to the tasks with the code.
-MAX_QUERY_SEGMENTS = 100_000
-_BOX = ("xmin", "ymin", "xmax", "ymax")
+def query_arrays(queries: DataFrame) -> Iterator[dict[int, np.ndarray]]:
+    """Segments by traj_id, n x 4, in blocks of about BLOCK_SEGMENTS; a longer query is a block of its own."""
+    block, held = {}, 0
+    for r in assembled(queries).select("traj_id", "segs").orderBy("traj_id").toLocalIterator():
+        one = np.array(r["segs"]).reshape(-1, 4)
+        if block and held + len(one) > BLOCK_SEGMENTS:
+            yield block
+            block, held = {}, 0
+        block[r["traj_id"]] = one
+        held += len(one)
+    if block:
+        yield block
 
 
 def query_array(query: DataFrame) -> np.ndarray:
-    rows = query.orderBy("seg_id").select("x1", "y1", "x2", "y2").limit(MAX_QUERY_SEGMENTS + 1).collect()
-    if not rows or len(rows) > MAX_QUERY_SEGMENTS:
-        raise ValueError(f"a query has 1 to {MAX_QUERY_SEGMENTS} segments")
-    return np.array(rows, float)
+    """A query's segments in the order of seg_id; its ids aren't looked at."""
+    one = query.withColumn("traj_id", F.lit(0).cast("long"))
+    for block in query_arrays(one):
+        return block[0]
+    raise ValueError("a query has one segment at least")
 
 
-def distances(segments: DataFrame, query: np.ndarray, distance: str = "hausdorff") -> DataFrame:
-    """traj_id, dist of every trajectory."""
-    measure = DISTANCES[distance]
+def trajectory_distances(trajectories: DataFrame, query: np.ndarray, distance="hausdorff") -> DataFrame:
+    """traj_id, dist of every row of ``assembled``; ``distance`` is a name or a function of two arrays."""
+    measure = DISTANCES.get(distance, distance) if isinstance(distance, str) else distance
 
-    def run(key, table):
+    def run(batches):
         import pyarrow as pa
 
-        t = table.sort_by("seg_id")
-        data = np.stack([t[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
-        return pa.table({"traj_id": pa.array([key[0].as_py()], pa.int64()), "dist": [measure(data, query)]})
+        for batch in batches:
+            yield pa.record_batch({"traj_id": batch.column("traj_id"), "dist": pa.array([measure(t, query) for t in arrays(batch)], pa.float64())})
+
+    return trajectories.select("traj_id", "segs").mapInArrow(run, "traj_id long, dist double")
+
 
-    return segments.select("traj_id", "seg_id", "x1", "y1", "x2", "y2").groupBy("traj_id").applyInArrow(run, "traj_id long, dist double")
+def distances(segments: DataFrame, query: np.ndarray, distance="hausdorff") -> DataFrame:
+    """traj_id, dist of every trajectory of a segment table."""
+    return trajectory_distances(assembled(segments), query, distance)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
+    """The k least distances (6 digits), ties by traj_id."""
     return found.select("traj_id", F.round("dist", 6).alias("dist")).orderBy("dist", "traj_id").limit(k)
 
 
-def bound(segments: DataFrame, query: np.ndarray, k: int, c: int, distance: str) -> float:
-    """The k-th least distance of c * k trajectories; infinity if there are fewer than k."""
-    found = distances(sample(segments, c * k), query, distance).orderBy("dist").limit(k).collect()
-    return float(found[-1]["dist"]) if len(found) == k else float("inf")
-
-
-def candidates(segments: DataFrame, query: np.ndarray, limit: float, strategy: str, distance: str) -> DataFrame:
-    """The segments of trajectories that can be within ``limit``."""
-    limit = limit * (1 + 1e-9) + 1e-9
-    low, high = np.minimum(query[:, :2], query[:, 2:]), np.maximum(query[:, :2], query[:, 2:])
-    if strategy == "mbr":  # the boxes are no further apart than the trajectories
-        whole = (*low.min(0).tolist(), *high.max(0).tolist())
-        good = boxes(segments).where(mbr_mbr(_BOX, tuple(map(F.lit, whole))) <= limit)
-    elif strategy == "segments":  # every segment has one of the query within the limit
-        parts = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip((*a, *b), _BOX, strict=True)]) for a, b in zip(low, high, strict=True)])
-        own = tuple(f("x1", "x2") if n.startswith("x") else f("y1", "y2") for n, f in zip(_BOX, (F.least, F.least, F.greatest, F.greatest), strict=True))
-        near = F.array_min(F.transform(parts, lambda q: mbr_mbr(own, tuple(q[n] for n in _BOX))))
-        good = segments.groupBy("traj_id").agg(F.max(near).alias("far")).where(F.col("far") <= limit)
-    elif strategy == "pivot":  # triangle inequality on a few pivots
-        if distance != "hausdorff":
-            raise ValueError("pivots need a metric")
-        good = segments.select("traj_id").distinct()
-        ids = [r["traj_id"] for r in good.orderBy(F.md5(F.col("traj_id").cast("string"))).limit(3).collect()]
-        for pivot in ids:
-            p = query_array(segments.where(F.col("traj_id") == pivot))
-            to_query = DISTANCES[distance](p, query)
-            good = good.join(distances(segments, p).where(F.abs(F.col("dist") - to_query) <= limit), "traj_id", "left_semi")
-    else:
-        raise ValueError(strategy)
-    return segments.join(good, "traj_id", "left_semi")
-
-
-def topk(segments: DataFrame, query: DataFrame, k: int = 10, c: int = 5, distance: str = "hausdorff", strategy: str = "scan") -> DataFrame:
-    """traj_id, dist (6 digits) of the k nearest; ties by traj_id."""
-    q = query_array(query)
-    if strategy != "scan":
-        limit = bound(segments, q, k, c, distance)
-        if limit != float("inf"):
-            segments = candidates(segments, q, limit, strategy, distance)
-    return best(distances(segments, q, distance), k)
+def topk(segments: DataFrame, query: DataFrame, k: int = 10, distance="hausdorff") -> DataFrame:
+    """traj_id, dist of the k nearest by the distance to every trajectory."""
+    return best(distances(segments, query_array(query), distance), k)
+
+
+def topk_many(trajectories: DataFrame, queries: DataFrame, k: int = 10, distance: str = "hausdorff") -> DataFrame:
+    """query_id, traj_id, dist: the k nearest of every query (segments with traj_id as their id).
+
+    A task keeps k rows for each query; a trajectory whose box is farther from the query's than the
+    worst of these isn't measured. ``trajectories`` is scanned once for each block of queries."""
+    measure, out = DISTANCES[distance], None
+    for block in query_arrays(queries):
+
+        def run(batches, block=block):
+            import pyarrow as pa
+
+            held: dict[int, list[tuple[float, int]]] = {q: [] for q in block}
+            boxes = np.array([[*np.minimum(s[:, :2], s[:, 2:]).min(0), *np.maximum(s[:, :2], s[:, 2:]).max(0)] for s in block.values()])
+            for batch in batches:
+                own = np.stack([batch.column(n).to_numpy() for n in ("xmin", "ymin", "xmax", "ymax")], axis=1)
+                gaps, segs, ids = box_gaps(own, boxes), arrays(batch), batch.column("traj_id").to_pylist()
+                for at, (q, query) in enumerate(block.items()):
+                    rows = held[q]
+                    for row in np.argsort(gaps[:, at], kind="stable").tolist():
+                        if len(rows) >= k and gaps[row, at] > rows[k - 1][0] + 1e-6:
+                            break
+                        rows.append((round(measure(segs[row], query), 6), ids[row]))
+                        rows.sort()
+                        del rows[k:]
+            rows = [(q, i, d) for q, some in held.items() for d, i in some]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "traj_id", "dist"])
+
+        found = trajectories.select("traj_id", "segs", "xmin", "ymin", "xmax", "ymax").mapInArrow(run, "query_id long, traj_id long, dist double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return trajectories.sparkSession.createDataFrame([], "query_id long, traj_id long, dist double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "traj_id"))
+    return out.withColumn("place", place).where(F.col("place") <= k).drop("place")

@@ -1 +1 @@
-"""See the modules."""
+"""Composite search plans."""
