@@ -1 +1 @@
-"""See the modules."""
+"""Streams of points and segments."""
