@@ -16,9 +16,11 @@ ranged by doc_id and written, a task's rows to one file; (4) files are read back
 tasks at once. The table of files is published by Spark's committer, so the files of lost or
 repeated attempts don't count.
 
+Codes have at most MAX_BITS bits, or as many as the number of different ids needs, up to 24.
+
 Defined results: a null or empty text has the end id alone. Documents with equal ids follow one
-another in the order of their coded ids; null ids come first. An empty table gives no files and
-no rows. Other columns are ignored.
+another in the order of a hash of their coded ids, and may lie in several files; null ids come first.
+An empty table gives no files and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,15 +45,17 @@ FILE_IDS = 16_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most ``limit`` bits (package-merge); 0: not coded."""
+    """Lengths of an optimal prefix code of at most ``limit`` bits, or of as many as the ids need
+    (package-merge); 0: not coded."""
     used = np.flatnonzero(counts)
+    limit = max(limit, (len(used) - 1).bit_length())
     lengths = np.zeros(len(counts), np.uint8)
     n = len(used)
     if n <= 1:
         lengths[used] = 1
         return lengths
-    if n > 1 << limit:
-        raise ValueError(f"{n} ids can't have codes of {limit} bits")
+    if limit > 24:
+        raise ValueError(f"{n} ids don't fit into codes of 24 bits")
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.float64)
     levels, items = [], leaves
@@ -89,12 +93,13 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, bits) for each value of the next MAX_BITS bits."""
+    """(id, bits) for each value of the next bits, as many as the longest code has, MAX_BITS at least."""
+    most = max(MAX_BITS, int(lengths.max(initial=0)))
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    spans = (1 << (MAX_BITS - lengths[order].astype(np.int64)))
+    spans = 1 << (most - lengths[order].astype(np.int64))
     ids, bits = np.repeat(order, spans), np.repeat(lengths[order], spans)
-    rest = (1 << MAX_BITS) - len(ids)
+    rest = (1 << most) - len(ids)
     return np.concatenate([ids, np.zeros(rest, ids.dtype)]).astype(np.uint32), np.concatenate([bits, np.ones(rest, bits.dtype)]).astype(np.int64)
 
 
@@ -130,13 +135,14 @@ def decode_blocks(blocks: list[tuple[bytes, int]], table: tuple[np.ndarray, np.n
         sizes.append(size)
         payloads.append(payload)
         base += 8 * len(payload)
-    bits = np.frombuffer(b"".join(payloads) + b"\0\0\0", np.uint8).astype(np.uint32)
-    window = (bits[:-2] << 16) | (bits[1:-1] << 8) | bits[2:]
+    bits = np.frombuffer(b"".join(payloads) + b"\0\0\0\0", np.uint8).astype(np.uint32)
+    window = (bits[:-3] << 24) | (bits[1:-2] << 16) | (bits[2:-1] << 8) | bits[3:]
+    most = len(symbol).bit_length() - 1
     at, size = np.concatenate(starts), np.concatenate(sizes)
     out = np.zeros((len(at), STEP), np.uint32)
-    last = len(window) - 1
+    last, mask = len(window) - 1, (1 << most) - 1
     for k in range(STEP):
-        peek = (window[np.minimum(at >> 3, last)] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        peek = (window[np.minimum(at >> 3, last)] >> (32 - most - (at & 7)).astype(np.uint32)) & mask
         out[:, k] = symbol[peek]
         at = at + width[peek]
     return out[np.arange(STEP) < size[:, None]]
@@ -287,8 +293,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 out.file.abort()
             raise
 
-    ranged = table.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
-    made = materialise(ranged.mapInArrow(write, "part long, name string, n_docs long, n_ids long"), "token-files")
+    # equal rows differ in their place only, so that many of them don't go to one file
+    keyed = table.withColumns({"hash": F.xxhash64("ids"), "place": F.monotonically_increasing_id()})
+    ranged = keyed.repartitionByRange(files, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "place")
+    made = materialise(ranged.select("doc_id", "n_tokens", "ids").mapInArrow(write, "part long, name string, n_docs long, n_ids long"), "token-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file only
     return made.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
