@@ -17,8 +17,9 @@ Search, over distinct fingerprints only, so copies are one row from there on:
 
 Part values that very many fingerprints share get a pivot, the member with the most documents.
 Members and probes within ``radius`` of it link to it and needn't be compared with each other, for
-they are connected already; all others are compared with everything. No pair of different components is
-lost and no group is expanded into all pairs.
+they are connected already. All others are compared with those that also agree in one of
+``radius`` + 1 sections of the other bits, in which any two within ``radius`` do. No pair of different
+components is lost and no group is expanded into all pairs.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
 rows with equal doc_id count as one each; null doc_ids stay null and never become a component's
@@ -184,12 +185,24 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         close = F.col("pivot").isNotNull() & (F.bit_count(F.col(fp).bitwiseXOR(F.col("pivot"))) <= radius)
         return df.join(hot, ["part", "key"], "left").withColumn("close", close)
 
+    sections = []  # of each part: the other bits, dealt out evenly
+    for bits, _ in chosen:
+        others = [b for b in range(BITS) if b not in bits]
+        sections.append([others[k :: radius + 1] for k in range(radius + 1)])
+
+    def sectioned(df: DataFrame, fp: str) -> DataFrame:
+        values = F.array(*[F.array(*[_value(bits, fp) for bits in of]) for of in sections])
+        return df.select("*", F.posexplode(F.element_at(values, F.col("part") + 1)).alias("section", "value"))
+
     left, right = flagged(probes, "a"), flagged(index.drop("n_docs"), "b")
+    cold = left.where("pivot is null").select("part", "key", "a").join(right.where("pivot is null").select("part", "key", "b"), ["part", "key"]).where(near & (F.col("a") < F.col("b"))).select("a", "b")
+    left, right = left.where("pivot is not null"), right.where("pivot is not null")
     stars = left.where("close and a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b"))  # probes hold each own value too
-    right = right.drop("pivot")
-    rest = left.where("not close").drop("close", "pivot").join(right.drop("close"), ["part", "key"]).where(near & (F.col("a") != F.col("b"))).select("a", "b")
-    cross = left.where("close").drop("close", "pivot").join(right.where("not close").drop("close"), ["part", "key"]).where(near & (F.col("a") != F.col("b"))).select("a", "b")
-    return stars.unionByName(rest).unionByName(cross)
+    by = ["part", "key", "section", "value"]
+    left, right = sectioned(left.select("part", "key", "a", "close"), "a"), sectioned(right.select("part", "key", "b", "close"), "b")
+    rest = left.where("not close").drop("close").join(right.drop("close"), by).where(near & (F.col("a") != F.col("b"))).select("a", "b")
+    cross = left.where("close").drop("close").join(right.where("not close").drop("close"), by).where(near & (F.col("a") != F.col("b"))).select("a", "b")
+    return cold.unionByName(stars).unionByName(rest).unionByName(cross)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
