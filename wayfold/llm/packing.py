@@ -4,7 +4,7 @@ A document's ids and one end id are cut into full windows of ``window`` ids; eac
 its own at once and never shuffled. The rest of a document, shorter than a window, is packed whole:
 within a group, pieces go in order of decreasing length, each into the open window with the least
 room that still holds it. A segment tree indexed by remaining capacity finds it in log2(window)
-steps. Groups hold about ``group_pieces`` pieces by a hash of doc_id and piece, their number grows
+steps. Groups hold about ``group_pieces`` pieces by a hash of piece and row, their number grows
 with the table, and only lengths and ids of pieces are shuffled, not texts or token ids. Every
 group leaves a few windows with room, which costs about one window in a thousand.
 
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
     short = pieces.where(F.col("sequence_id").isNull())
     groups = max(1, -(-short.count() // group_pieces))
 
-    def place(key, table):
+    def fit(key, table):
         import pyarrow as pa
 
         order = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("ids_crc32", "ascending")])
@@ -124,8 +124,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
         out = order.set_column(names.index("sequence_id"), "sequence_id", pa.array((key[0].as_py() << 32) + at, pa.int64())).set_column(names.index("offset"), "offset", pa.array(offset, pa.int64()))
         return out.drop_columns(["group"])
 
-    grouped = short.withColumn("group", F.pmod(F.xxhash64("doc_id", "ids_crc32", "length"), F.lit(groups)))
-    placed = grouped.groupBy("group").applyInArrow(place, PIECE)
+    place = F.monotonically_increasing_id()  # of the row in what was written: equal pieces go to different groups
+    grouped = short.withColumn("group", F.pmod(F.xxhash64("doc_id", "ids_crc32", "length", place), F.lit(groups)))
+    placed = grouped.groupBy("group").applyInArrow(fit, PIECE)
     return pieces.where(F.col("sequence_id").isNotNull()).unionByName(placed)
 
 
