@@ -3,7 +3,7 @@
 Shallow trees on random halves of a labelled sample give conjunctive rules over statistics of the
 text; lasso logistic regression keeps few of them; the kept rules become one Spark expression over
 the statistics. Only text statistics are inputs. The sample is at most ``SAMPLE`` labelled rows, by
-hash of doc_id, from rows whose crc32(doc_id as text) mod 3 isn't 1.
+hash of doc_id, from rows whose crc32(doc_id as text) mod 3 isn't 1; of documents with one id one is used.
 
 Defined results: null, empty and blank texts have zero statistics and are scored like others; with
 no usable labels every score is 0.5, with one class only it is that class's smoothed share; rows
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import free_name, slices
 
 SAMPLE, TREES, DEPTH, BINS, LASSO, STEPS = 8_000, 40, 3, 24, 0.002, 400
 STATS = ["n_words", "chars_per_word", "distinct_share", "adjacent_share", "top_share", "upper_share", "symbols_per_word", "shouts_per_word", "digit_share", "line_copy_share"]
@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     usable = labels.where(labels["doc_id"].isNotNull() & labels["quality"].isNotNull() & ~held_out(labels["doc_id"]))
     chosen = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    rows = statistics_table(texts).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(2 * sample).collect()
+    each = statistics_table(texts).groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("stats"))  # of repeated ids one row
+    rows = each.join(chosen, "doc_id").select("quality", "stats.*").orderBy("quality", *STATS).collect()
     x = np.array([[r[s] for s in STATS] for r in rows]).reshape(-1, len(STATS))
     return fit(x, np.array([float(r["quality"] > 0) for r in rows]))
 
@@ -164,5 +165,5 @@ def statistics_column(text: Column) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that score 0.5 or more."""
-    model, name = train(docs, labels), "__quality_stats"
+    model, name = train(docs, labels), free_name(docs, "quality_stats")
     return docs.withColumn(name, statistics_column(docs["text"])).where(compile_score(model, lambda s: F.col(name)[s]) >= 0.5).drop(name)
