@@ -43,12 +43,35 @@ def _crc(ids):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_and_resynchronisation_equal_the_library(name):
     coder, rnd = PieceEncoder(shared.default_tokenizer(name), limit=50), random.Random(5)
+    chunks = token_counts.chunk_encoder(shared.default_tokenizer(name))
+    assert chunks.provable
     for _ in range(1500):
         text = "".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 40)))
         want = array("I", coder.tok.encode(text, add_special_tokens=False).ids).tobytes()
         assert coder.ids(text) == want
-        if coder.mode == "spaced":
-            assert token_counts.resync_ids(text, coder.tok, coder.specials, 30, 4)[0] == want
+        assert token_counts.resync_ids(text, chunks, 30, 4)[0] == want
+
+
+def test_resynchronisation_equals_sentencepiece():
+    chunks, rnd = token_counts.chunk_encoder(shared.default_tokenizer("piece_bpe_32k.model")), random.Random(5)
+    assert chunks.provable
+    odd = [*ODD, "\u2581", "\u2581a", "\u3000", "x \u2581", "<s>", "  b"]
+    for _ in range(1500):
+        text = "".join(rnd.choice(odd) for _ in range(rnd.randint(0, 40)))
+        assert token_counts.resync_ids(text, chunks, 30, 4)[0] == array("I", chunks.model.encode(text)).tobytes()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_huge_texts_at_the_default_chunk(spark, name):
+    """Each is spliced, but for one without any boundary, which becomes one chunk."""
+    path, rnd = shared.default_tokenizer(name), random.Random(1)
+    texts = ["".join(rnd.choice([*ODD, " some", " words ", "\n"]) for _ in range(60_000)), " ".join(f"word{k}" for k in range(30_000)), "x" * 50_000]
+    chunks = token_counts.chunk_encoder(path)
+    want = [len(chunks.model.encode(t)) if name.endswith(".model") else len(chunks.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    rows = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert [got[k]["n_tokens"] for k in range(3)] == want
+    assert got[0]["n_splices"] > 3 and got[1]["n_splices"] > 3 and got[2]["n_splices"] == 0
 
 
 def test_token_counts(docs, empty):
@@ -60,10 +83,10 @@ def test_token_counts(docs, empty):
 
 def test_huffman_round_trip():
     rng = np.random.default_rng(1)
-    for n, m in [(1, 3), (2, 9), (49_408, 70_000)]:
-        ids = np.minimum(rng.zipf(1.2, m), n) - 1
+    for n, m in [(1, 3), (2, 9), (49_408, 70_000), (100_000, 300_000)]:
+        ids = np.minimum(rng.zipf(1.2, m), n) - 1 if n < 65_536 else np.append(np.arange(n), rng.integers(0, n, m - n))
         lengths = token_files.code_lengths(np.bincount(ids))
-        assert lengths.max() <= token_files.MAX_BITS
+        assert lengths.max() <= (token_files.MAX_BITS if n < 65_536 else 24)
         codes = token_files.canonical_codes(lengths)
         assert (token_files.decode_blocks([(token_files.encode_block(ids, lengths, codes), m)], token_files.decode_table(lengths)) == ids).all()
 
@@ -114,19 +137,46 @@ def test_packing_keeps_every_id(docs, empty):
 def test_quality_rules_equal_brute_force(docs, empty):
     rnd = random.Random(0)
     for _ in range(400):
-        t = "".join(rnd.choice(["a ", "b ", "é ", "日\n", "a\x0b", "\x85", " ", "# ", "x y z\n"]) for _ in range(rnd.randint(0, 120)))
+        t = "".join(rnd.choice(["a ", "b ", "é ", "日\n", "a\x0b", "\x85", " ", "# ", "x y z\n", *[f"w{rnd.randrange(10**6)} "] * rnd.choice([0, 9, 40])]) for _ in range(rnd.randint(0, 120)))
         words = WORD.findall(t)
         three = Counter(zip(words, words[1:], words[2:]))
         covered = {k for i in range(len(words) - 2) if three[tuple(words[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
         m = quality_rules.measure(t.encode())
         assert (m["n_words"], m["word_chars"], m["n_repeat_words"], m["n_dup_lines"]) == (len(words), sum(map(len, words)), len(covered), len(lines) - len(set(lines)))
+        total = max(1, sum(map(len, words)))
+        shares = {}
+        for n in quality_rules.NGRAM_SHARES:
+            seen, later = set(), set()
+            for i in range(len(words) - n + 1):
+                gram = tuple(words[i : i + n])
+                later |= set(range(i, i + n)) if gram in seen else set()
+                seen.add(gram)
+            shares[n] = sum(len(words[k]) for k in later) / total
+        copies = sum(len(w) for k, x in enumerate(lines) if x in lines[:k] for w in WORD.findall(x)) / total
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        assert m["ngram_chars_share"] == pytest.approx(max(shares.values())) and m["line_chars_share"] == pytest.approx(copies)
+        assert m["base_failed"] == failed
+        assert m["kept"] == (not failed and copies <= quality_rules.LINE_CHARS and all(v <= quality_rules.NGRAM_SHARES[n] for n, v in shares.items()))
     assert quality_rules.judge_documents(docs).count() == docs.count()
     kept = docs.where(quality_rules.rules_column(docs["text"])["kept"])
     assert kept.columns == docs.columns and kept.count() == 0
     assert quality_rules.judge_documents(empty).count() == 0
 
 
+def test_fingerprint_equals_plain_counting():
+    import xxhash
+
+    rnd = random.Random(2)
+    for text in [t or "" for t in TEXTS] + [" ".join(rnd.choice(["a", "B", "É", "ccc", "\x85"]) for _ in range(rnd.randint(0, 30))) for _ in range(100)]:
+        for words in (4, 5):
+            tokens = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+            grams = [" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))] if tokens else []
+            hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+            want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+            assert simhash.fingerprint(text.encode(), words) & (1 << 64) - 1 == want
+
+
 def _near(fps, radius):
     root = list(range(len(fps)))
     find = lambda k: k if root[k] == k else find(root[k])
@@ -137,7 +187,7 @@ def _near(fps, radius):
     return [find(k) for k in range(len(fps))]
 
 
-@pytest.mark.parametrize("hot", [512, 3])
+@pytest.mark.parametrize("hot", [512, 3, 0])
 def test_fingerprint_links_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     rng = random.Random(4)
@@ -220,27 +270,140 @@ def test_leaks_with_edits(spark, docs, empty):
     assert decontaminate.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def _plain_edits(item, words):
+    """Least word edits between the item and any run of the words."""
+    row = [0] * (len(words) + 1)
+    for i, w in enumerate(item):
+        new = [i + 1]
+        for j, x in enumerate(words):
+            new.append(min(row[j] + (w != x), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("sizes", [(5, 5), (6, 12), (14, 50), (19, 20), (50, 120)])
+def test_leaks_at_the_full_rate(sizes):
+    """Of items with as many edits as the rate allows, 95 % are found in each kind, and their edits are exact."""
+    rnd, rng = random.Random(9), np.random.default_rng(5)
+    items = [(f"k{k}", " ".join(f"w{rnd.randrange(3_000)}" for _ in range(rnd.randint(*sizes)))) for k in range(100)]
+    index = decontaminate.ItemIndex(items)
+    for kind in ("sub", "ins", "del", "mix"):
+        blank = lambda n: rng.integers(1, 1 << 62, n, dtype=np.uint64)
+        texts = [np.concatenate([blank(30), decontaminate.edited(w, int(index.rate * len(w)), kind, rng), blank(30)]) for _, w in index.items]
+        found = index.find(texts)
+        assert np.mean([any(m == k for m, _, _ in f) for k, f in enumerate(found)]) >= 0.95
+        for k, some in enumerate(found):
+            for member, edits, _ in some:
+                item = index.items[member][1].tolist()
+                assert edits <= int(index.rate * len(item))
+                assert k % 10 or edits == _plain_edits(item, texts[k].tolist())
+
+
+def test_repeated_items(spark):
+    """More equal items than a block holds: one text in the index, a row for each id in the result."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    benchmark = spark.range(9_000).selectExpr("id as item_id", f"'{text}' as text", "1 as key")
+    docs = spark.createDataFrame([(1, "before " + text + " after"), (2, "nothing here"), (1, text.upper())], "doc_id long, text string")
+    rows = decontaminate.leaks(docs, benchmark).collect()
+    assert len(rows) == 18_000 and {r["doc_id"] for r in rows} == {1} and len({r["item_id"] for r in rows}) == 9_000
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, benchmark).collect()] == [2]
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 5)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(8 + k))) for k in range(30)]
+    docs = spark.createDataFrame([(k, "x " + t + " y") for k, t in items], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontaminate.index_files(benchmark)[1]) > 1
+    assert {(r["doc_id"], r["item_id"], r["edits"], r["start_word"]) for r in decontaminate.leaks(docs, benchmark).collect()} == {(k, k, 0, 1) for k in range(30)}
+    assert decontaminate.decontaminate(docs, benchmark).count() == 0
+
+
 def test_count_filter_keeps_items_longer_than_the_shortest():
     """A 20-word item with 4 spaced edits has 6 shingles left; a 19-word item of its class needs 8."""
-    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((19, 20))]
+    items = [(str(k), " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((19, 20))]
     index, memo = decontaminate.ItemIndex(items), decontaminate.WordHashes()
-    assert len(index.classes) == 1
+    assert len(index.classes) == 1 and index.classes[0].need == 6
     words = items[1][1].split()
     texts = [" ".join(f"new{t}x{j}" if j in (3, 7, 11, 15) else w for j, w in enumerate(words)) for t in range(40)]
     found = index.find([decontaminate.word_hashes(t, memo) for t in texts])
-    assert sum(bool(f) for f in found) >= 20
+    assert sum(bool(f) for f in found) >= 38
 
 
 def test_quality_model_held_out(spark, docs, empty):
     docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_model.score_documents(docs_, labels).where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.9
+    clash = docs_.withColumn("__quality_stats", docs_["doc_id"] + 1).withColumn("_quality_stats", docs_["doc_id"])
+    assert clash.count() > quality_model.keep_good(clash, labels).where("__quality_stats = doc_id + 1 and _quality_stats = doc_id").count() > 500
     none = labels.where("false")
     assert {r["score"] for r in quality_model.score_documents(docs, none).collect()} == {0.5}
     assert quality_model.score_documents(empty, none).count() == 0
     assert quality_model.keep_good(docs, none).columns == docs.columns
 
 
+def test_compiled_rules_equal_numpy(spark):
+    """Rules are tree paths, the lasso keeps few, and the column gives the model's score."""
+    rng = np.random.default_rng(3)
+    x = rng.random((600, len(quality_model.STATS)))
+    y = ((x[:, 0] > 0.6) & (x[:, 2] <= 0.5)).astype(float)
+    model = quality_model.fit(x, y)
+    assert 1 <= len(model[1]) <= 60 and all(1 <= len(rule) <= quality_model.DEPTH for rule, _ in model[1])
+    total = np.full(len(x), model[0])
+    for rule, weight in model[1]:
+        total += weight * np.all([x[:, f] > cut if above else x[:, f] <= cut for f, above, cut in rule], axis=0)
+    want = 1 / (1 + np.exp(-total))
+    table = spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(x)], ["k", *quality_model.STATS])
+    got = {r["k"]: r["score"] for r in table.select("k", quality_model.compile_score(model, lambda s: table[s]).alias("score")).collect()}
+    assert [got[k] for k in range(len(x))] == pytest.approx(want.tolist())
+    assert ((want >= 0.5) == (y > 0)).mean() > 0.95
+    assert quality_model.fit(x, np.ones(600))[1] == []
+
+
+def test_ranks_equal_brute_force(spark):
+    """Several hundred hosts with a hot one, cycles, hosts without links onward and links to unknown hosts."""
+    rnd = random.Random(8)
+    hosts = [f"h{k}.test" for k in range(300)] + ["example.com", "x.example.net"]
+    pages, links = [], Counter()
+    for k, host in enumerate(hosts):
+        for j in range(30 if k == 0 else 2):
+            to = [] if k % 7 == 3 else [hosts[0], hosts[(k + 1) % 300], rnd.choice(hosts), f"out{rnd.randrange(40)}.test"][: rnd.randint(1, 4)]
+            path = rnd.choice(["/de/", "/en/", "/"])
+            pages.append((len(pages), f"http://{host}{path}{j}", "".join(f"<a href='//{t}/x'>" for t in to) + "<a href='/own'>"))
+            for t in to:
+                links[host, t] += t != host
+    links = +links
+    got = {r["host"]: r for r in url_trust.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), threshold=0.1).collect()}
+    share = {"allow": Counter(), "block": Counter()}
+    count = Counter(u.split("/")[2] for _, u, _ in pages)
+    for _, url, _ in pages:
+        host, path = url.split("/")[2], "/" + url.split("/", 3)[3]
+        if host == "x.example.net":
+            share["allow" if path.startswith("/en/") else "block"][host] += 1
+        elif host == "example.com" and path.startswith("/de/"):
+            share["block"][host] += 1
+    names = sorted(set(hosts) | {t for _, t in links})
+    at = {h: k for k, h in enumerate(names)}
+    ranks = {}
+    for what, edges in (("allow", links), ("block", {(b, a): n for (a, b), n in links.items()})):
+        m = np.zeros((len(names), len(names)))
+        for (a, b), n in edges.items():
+            m[at[b], at[a]] = n
+        m /= np.maximum(m.sum(0), 1e-300) + (m.sum(0) == 0)
+        base = np.array([0.15 * share[what][h] / max(1, count[h]) for h in names])
+        ranks[what] = np.linalg.solve(np.eye(len(names)) - 0.85 * m, base)
+    assert ranks["block"].max() > 0 and ranks["allow"].max() > 0
+    verdicts = set()
+    for host in hosts:
+        trust, distrust = ranks["allow"][at[host]], ranks["block"][at[host]]
+        assert got[host]["host_trust"] == pytest.approx(trust, abs=1e-5) and got[host]["host_distrust"] == pytest.approx(distrust, abs=1e-5)
+        if got[host]["rule"] is None and abs(distrust - 0.015) > 1e-5 and abs(distrust - trust) > 1e-5:
+            want = "block" if distrust >= 0.015 and distrust > trust else "allow"
+            assert got[host]["verdict"] == want
+            verdicts.add(want)
+    assert verdicts == {"allow", "block"}
+
+
 def test_url_rules_and_propagation(spark):
     link = '<a href="http://{}/x">'
     rows = [(0, "http://A.Example.NET/en/1?q", ""), (1, "https://x.net", None), (2, None, ""), (3, "nothing", ""), (4, "http://example.com/de/1", ""), (5, "http://friend.test/1", link.format("example.com")), (6, "http://good.org/fr/", link.format("neutral.test")), (7, "http://neutral.test#f", ""), (7, "http://neutral.test#f", "")]
@@ -269,16 +432,77 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.where("false"), other), other).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_warc_archives(spark, monkeypatch, broadcast):
+    """Dictionaries in small and in large archives, ids, dates, several archives a task, the salted join,
+    equal rows, clashing names, a very long page."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    rnd = random.Random(4)
+    words = ["<p>", "</p>", "some", "words", "of", "a", "page", "<a href='/x'>", "</a>", "text"]
+    rows = [(k, f"http://h/{k}", " ".join(rnd.choice(words) for _ in range(400)) + str(k)) for k in range(60)]
+    rows += [(k, "http://same", "the same " * 300) for k in range(100, 140)] + [(139, "http://same", "the same " * 300), (200, "u", "long " * 400_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as salt", "'x' as only", "2 as payload", "3 as all", "4 as last", "5 as key")
+    folder = shared.scratch(spark, "w")
+    archives = warc.write_archives(pages.coalesce(1), folder, archive_bytes=5_000)
+    assert archives.count() > 1 and archives.agg({"records": "sum"}).first()[0] == len(rows)
+    got, seen, names = [], [], [r["name"] for r in archives.collect()]
+    for name in names:
+        with shared.read_file(folder, name) as f:
+            assert int.from_bytes(f.read(4), "little") == warc.MAGIC and int.from_bytes(f.read(4), "little") > 100
+        first, *rest = list(warc.records(folder, name))
+        assert first[0]["WARC-Type"] == "warcinfo" and first[0]["WARC-Filename"] == name
+        got += rest
+        seen += [x[0]["WARC-Record-ID"] for x in (first, *rest)]
+    assert len(seen) == len(set(seen)) and all(x["WARC-Date"].endswith("Z") for x, _ in got)
+    assert Counter(x["WARC-Type"] for x, _ in got) == {"response": 63, "revisit": 39}
+    assert sorted(p.decode() for x, p in got if x["WARC-Type"] == "response") == sorted([r[2] for r in rows[:60]] + [rows[-1][2]] + [rows[100][2]] * 2)
+    assert {r["refers_to"] for r in warc.read_archives(archives, folder).where("record_type = 'revisit'").collect()} == {139}
+    few = pages.where("page_id in (0, 100, 101)")
+    few_folder = shared.scratch(spark, "w")
+    made = warc.write_archives(few.coalesce(1), few_folder)
+    assert made.first()["bytes"] > 1_000 and warc.read_archives(made, few_folder).count() == 3
+    one = {x["WARC-Record-ID"]: x for x, _ in warc.records(few_folder, made.first()["name"])}
+    assert [x["WARC-Refers-To"] in one for x in one.values() if x["WARC-Type"] == "revisit"] == [True]
+
+
 def test_shard_store(spark, docs, empty):
     store = shards.ShardStore(spark, shared.scratch(spark, "s"), target=1_000_000)
-    store.append_arrivals(docs, 3)
-    store.append(docs)
+    named = docs.selectExpr("*", "doc_id + 1 as __arrival", "'x' as arrival")
+    store.append_arrivals(named, 3)
+    store.append(named)
     before = store.manifest()
+    reader = store.read()
     after = store.compact()
     assert len(after["shards"]) < len(before["shards"]) and after["version"] > before["version"]
-    assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.union(docs).collect()))
-    with pytest.raises(Exception):  # noqa: B017  another writer was first
-        store._commit(before, after["schema"], [])
+    want = sorted(map(str, named.union(named).collect()))
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, reader.collect())) == want
+    assert sorted(map(str, store.read(before["version"]).collect())) == want
+    with pytest.raises(shards.VersionTaken):  # another writer was first
+        store._commit(before, after["schema"], [], [])
+    assert store.expire() >= len(before["shards"]) and store.versions() == [after["version"]]
+    assert sorted(map(str, store.read().collect())) == want
     none = shards.ShardStore(spark, shared.scratch(spark, "s"))
     none.append_arrivals(empty, 2)
     assert none.compact() and none.read().count() == 0
+
+
+def test_shard_store_with_two_writers(spark, monkeypatch):
+    """An append that finds its version taken goes on; a compaction whose shards are gone starts anew."""
+    path = shared.scratch(spark, "s")
+    one, two = (shards.ShardStore(spark, path, target=1_000_000) for _ in range(2))
+    rows = spark.range(10).selectExpr("id as doc_id", "'t' as text").coalesce(1)
+    one.append(rows)
+    stale, real, calls = one.manifest(), one.manifest, []
+    monkeypatch.setattr(one, "manifest", lambda version=None: real(version) if version or len(calls) > 1 else calls.append(1) or stale)
+    two.append(rows.selectExpr("*", "1 as more"))
+    one.append(rows)
+    assert two.read().count() == 30 and two.read().columns == ["doc_id", "text", "more"] and two.read().where("more = 1").count() == 10
+    with pytest.raises(ValueError):
+        two.append(rows.selectExpr("doc_id", "1 as text"))
+    for _ in range(20):  # beyond a full version
+        two.append(rows.limit(1))
+    assert two.manifest()["version"] == 23 and len(two.manifest()["shards"]) == 23 and two.read().count() == 50
+    old = two.manifest()
+    two.compact()
+    assert not one._replace(old, [s["name"] for s in old["shards"]], [])
+    assert two.read().count() == 50
