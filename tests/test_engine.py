@@ -103,6 +103,21 @@ def test_vantage_tree(arrays):
     assert metric.VantageTree([], kernels.hausdorff).nearest(arrays[0], 3) == []
 
 
+def test_memoised_distance(arrays):
+    calls = []
+    measure = kernels.memoised(lambda a, b: calls.append(1) or kernels.hausdorff(a, b), limit=3)
+    one, two = (0, arrays[0]), (1, arrays[1])
+    assert measure(one, two) == measure(two, one) == kernels.hausdorff(arrays[0], arrays[1]) and len(calls) == 1
+    for k in range(2, 6):
+        measure(one, (k, arrays[k]))
+    assert measure(two, one) == kernels.hausdorff(arrays[0], arrays[1]) and len(calls) == 6
+
+
+def test_distances_in_more_partitions(store, arrays):
+    rows = search.trajectory_distances(store.trajectories(), arrays[0], partitions=7)
+    assert rows.rdd.getNumPartitions() == 7 and rows.count() == len(arrays)
+
+
 def test_metric_cells(store, arrays):
     cells = metric.MetricCells.build(store.trajectories(), 6)
     everything = _nearest(arrays, arrays[8], len(arrays), kernels.hausdorff)

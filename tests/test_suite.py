@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, db, name):
 #: Flags and id sets, with the SQL of all rows that they choose from.
 CHOSEN = {
     **dict.fromkeys(["mbr_contains", "mbr_intersects", "circle_intersects", "ranked_range", "range_boxes", "range_custom_distance"], "SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1"),
-    **dict.fromkeys(["ids_within", "idset_union", "idset_intersection", "idset_difference", "idset_complement", "idset_contains", "idset_excludes", "ids_prunable_any", "anti_join_ids", "bloom_may_contain"], "SELECT DISTINCT user_id FROM events"),
+    **dict.fromkeys(["ids_within", "idset_union", "idset_intersection", "idset_difference", "idset_complement", "idset_contains", "idset_excludes", "ids_prunable_any", "ids_within_any", "anti_join_ids", "bloom_may_contain"], "SELECT DISTINCT user_id FROM events"),
     **dict.fromkeys(["polygon_contains", "polygon_intersects_mbr", "polygon_intersects_circle", "line_intersects_circle", "circle_contains", "point_dominates", "pruned_range", "range_any_segment", "anti_range_any_segment", "circle_range", "seg_intersects_seg", "polygon_intersects_segment", "line_intersects_segment"], "SELECT event_id FROM events"),
 }
 

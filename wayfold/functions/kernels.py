@@ -117,5 +117,21 @@ def simplify(points: np.ndarray, eps: float) -> np.ndarray:
     return np.array(sorted(keep))
 
 
+def memoised(distance, limit: int = 100_000):
+    """``distance`` of (key, array) pairs that keeps results, each for both orders; emptied when it is full."""
+    known: dict[tuple, float] = {}
+
+    def measure(a: tuple, b: tuple) -> float:
+        key = (a[0], b[0]) if a[0] <= b[0] else (b[0], a[0])
+        found = known.get(key)
+        if found is None:
+            if len(known) >= limit:
+                known.clear()
+            found = known[key] = distance(a[1], b[1])
+        return found
+
+    return measure
+
+
 #: Metrics and other measures of two trajectories; a function of two arrays serves as well.
 DISTANCES = {"hausdorff": hausdorff, "frechet": frechet, "points": points_distance}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..storage import scratch
 from .trajectories import assembled
 
-SEGMENTS_PER_CELL, MOST_CELLS, ACCURACY = 1_000_000, 16_384, 10_000
+SEGMENTS_PER_CELL, MOST_CELLS, ACCURACY = 1_000_000, 16_384, 50_000
 BOX, SEG = ("xmin", "ymin", "xmax", "ymax"), ("x1", "y1", "x2", "y2")
 
 

@@ -38,8 +38,9 @@ def query_array(query: DataFrame) -> np.ndarray:
     raise ValueError("a query has one segment at least")
 
 
-def trajectory_distances(trajectories: DataFrame, query: np.ndarray, distance="hausdorff") -> DataFrame:
-    """traj_id, dist of every row of ``assembled``; ``distance`` is a name or a function of two arrays."""
+def trajectory_distances(trajectories: DataFrame, query: np.ndarray, distance="hausdorff", partitions: int | None = None) -> DataFrame:
+    """traj_id, dist of every row of ``assembled``; ``distance`` is a name or a function of two arrays.
+    With ``partitions`` rows are dealt out anew first, for few rows with long trajectories."""
     measure = DISTANCES.get(distance, distance) if isinstance(distance, str) else distance
 
     def run(batches):
@@ -48,7 +49,8 @@ def trajectory_distances(trajectories: DataFrame, query: np.ndarray, distance="h
         for batch in batches:
             yield pa.record_batch({"traj_id": batch.column("traj_id"), "dist": pa.array([measure(t, query) for t in arrays(batch)], pa.float64())})
 
-    return trajectories.select("traj_id", "segs").mapInArrow(run, "traj_id long, dist double")
+    rows = trajectories.select("traj_id", "segs")
+    return (rows.repartition(partitions) if partitions else rows).mapInArrow(run, "traj_id long, dist double")
 
 
 def distances(segments: DataFrame, query: np.ndarray, distance="hausdorff") -> DataFrame:

@@ -235,7 +235,7 @@ def queries() -> dict:
         "dist_directed": _directed,
         "range_any_segment": _any,
         "anti_range_any_segment": lambda s, d: _any(s, d, True),
-        "ids_within_any": lambda s, d: ranges.within_any(store(s, d), _query(s, d), 0.02).where(F.col("traj_id") != QUERY).select("traj_id").distinct(),
+        "ids_within_any": lambda s, d: ranges.within_any(store(s, d), _query(s, d)[:2], NEAR).select("traj_id").distinct(),
         "ids_prunable_any": _prunable,
         "anti_join_ids": _anti,
         "segment_cells": lambda s, d: store(s, d).segments().select("traj_id", "seg_id", F.col("cell").cast("long").alias("cell")),
@@ -350,7 +350,7 @@ def oracle_sql() -> dict:
     cx, cy, cr = CIRCLE
     rounded = lambda cs, p="": ", ".join(f"round({p}{c}, 6) AS {c}" for c in cs)
     mm = lambda b: f"sqrt(pow(greatest(xmin - {b[2]}, 0.0, {b[0]} - xmax), 2) + pow(greatest(ymin - {b[3]}, 0.0, {b[1]} - ymax), 2))"
-    digits = lambda *cs: " || ' ' || ".join(f"printf('%.6f', {c})" for c in cs)
+    digits = lambda *cs: " || ' ' || ".join(f"printf('%.6f', round({c}, 6))" for c in cs)
     closed = lambda b: "[" + ", ".join(f"[round({x}, 6), round({y}, 6)]" for x, y in (("xmin", "ymin"), ("xmin", "ymax"), ("xmax", "ymax"), ("xmax", "ymin"), ("xmin", "ymin"))) + "]"
     collection = lambda cells: f"""{cells} SELECT '{{"type":"GeometryCollection","geometries":[' || string_agg('{{"type":"Polygon","coordinates":[' || replace(CAST({closed('')} AS VARCHAR), ' ', '') || ']}}', ',' ORDER BY cell) || ']}}' AS geometry FROM cb"""
     lh = " UNION ALL ".join(f"SELECT traj_id, seg_id, {k} AS part, CASE WHEN {_cross(SEG, e)} THEN 0.0 ELSE least({_four(SEG, e)}) END AS g FROM seg WHERE seg_id < 5" for k, e in enumerate(line_edges))
@@ -359,7 +359,7 @@ def oracle_sql() -> dict:
         "dist_directed": f"{_WITH} SELECT traj_id, round(max(dist), 6) AS dist FROM (SELECT t.traj_id, t.seg_id, min({gap}) AS dist FROM seg t CROSS JOIN {one} q GROUP BY 1, 2) GROUP BY 1",
         "range_any_segment": f"{_WITH} SELECT traj_id, seg_id FROM seg t WHERE {near_any(NEAR)}",
         "anti_range_any_segment": f"{_WITH} SELECT traj_id, seg_id FROM seg t WHERE NOT {near_any(NEAR)}",
-        "ids_within_any": f"{_WITH} SELECT DISTINCT traj_id FROM seg t WHERE traj_id <> {QUERY} AND {near_any(0.02)}",
+        "ids_within_any": f"{_WITH} SELECT DISTINCT traj_id FROM seg t WHERE EXISTS (SELECT 1 FROM {one} q WHERE q.seg_id < 2 AND {gap} <= {NEAR})",
         "ids_prunable_any": f"{_WITH} {beyond}",
         "anti_join_ids": f"{_WITH} SELECT traj_id, n_segs FROM box WHERE traj_id NOT IN ({beyond})",
         "segment_cells": f"{scells} SELECT traj_id, seg_id, cell FROM c2",
@@ -386,7 +386,7 @@ def oracle_sql() -> dict:
         "traj_runs": "WITH a AS (SELECT user_id, event_type, ts, event_id, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a) SELECT user_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(event_type) AS event_type FROM b GROUP BY 1, 2",
         "traj_assembled": f"{_WITH} SELECT traj_id, seg_id, {rounded(SEG)} FROM seg",
         "point_lists": f"{_ORDERS} SELECT traj_id, seg_id, {rounded(SEG)} FROM seg",
-        "stats_lines": f"{_WITH} SELECT traj_id, traj_id || chr(9) || n_segs || chr(9) || printf('%.6f', total_length) || chr(9) || printf('%.6f', span) AS line FROM st",
+        "stats_lines": f"{_WITH} SELECT traj_id, traj_id || chr(9) || n_segs || chr(9) || printf('%.6f', round(total_length, 6)) || chr(9) || printf('%.6f', round(span, 6)) AS line FROM st",
         "shape_texts": f"{_WITH} SELECT traj_id, seg_id, 'POINT(' || {digits('x1 + 1', 'y1 + 1')} || ')' AS point, 'SEG(' || {digits('x1', 'y1')} || '->' || {digits('x2', 'y2')} || ')' AS segment, 'MBR(' || {digits('least(x1, x2)', 'least(y1, y2)')} || ',' || {digits('greatest(x1, x2)', 'greatest(y1, y2)')} || ')' AS box, 'MBR(' || {digits('x1 - 2', 'y1 - 2')} || ',' || {digits('x1 + 2', 'y1 + 2')} || ')' AS circle_box FROM seg",
         "polygon_wkb": f"{_WITH} SELECT traj_id, seg_id, '01030000000100000004000000' AS head, 'POLYGON((' || {digits('x1', 'y1')} || ', ' || {digits('x2', 'y2')} || ', ' || {digits('0.0', '0.0')} || ', ' || {digits('x1', 'y1')} || '))' AS polygon FROM seg",
         "geojson_collection": collection(bcells),
