@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round attaches neighbours to the least one known, first larger then smaller ones, and is
     written to a shared table. Degrees are summed before they are shuffled, and the joins are
-    plain equi-joins that Spark can split where a node has very many links.
+    plain equi-joins that Spark can split where a node has very many links. Links with a null end are
+    no links; repeated ones and those of a node to itself change nothing; without links there are no rows.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = _mark(edges)
@@ -24,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         large = materialise(large, "large-star")
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.union(own.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        last, edges = edges, materialise(small.union(own.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        release(last, large)
         before, mark = mark, _mark(edges)
         if before == mark:
             break

@@ -2,51 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in
-    tests, a temporary folder takes its place and becomes the checkpoint folder of the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not root:
-        root = sc.getCheckpointDir()
-        if not root:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-            sc.setCheckpointDir(root)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared root; it goes when the driver's process ends."""
-    path = f"{checkpoint_root(spark)}/wayfold/{name}-{uuid.uuid4().hex}"
-    if not _SCRATCH:
-        atexit.register(_clean)
-    _SCRATCH.append((spark, path))
-    return path
-
-
-def _clean() -> None:
-    for spark, path in _SCRATCH:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is scratch only
-            return
+from ..storage import scratch, shared_root as checkpoint_root  # noqa: F401
 
 
 def hadoop(spark: SparkSession, path: str):
@@ -66,7 +27,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Remove what ``materialise`` wrote for tables that nothing reads any more."""
+    for df in written:
+        if path := getattr(df, "_written", None):
+            remove(df.sparkSession, path)
+
+
+def remove_strays(spark: SparkSession, folder: str, names: DataFrame) -> None:
+    """Remove the files of a folder that aren't in ``names`` (a row for each file): those of lost attempts."""
+    known = {r["name"] for r in names.select("name").collect()}
+    fs, p = hadoop(spark, folder)
+    if fs.exists(p):
+        for status in fs.listStatus(p):
+            if status.getPath().getName() not in known:
+                fs.delete(status.getPath(), False)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import AtomicFile, default_tokenizer, materialise, read_file, scratch, slices, task_id
+from .shared import AtomicFile, default_tokenizer, materialise, read_file, remove_strays, slices, task_id
 from .tokens import piece_encoder
 
 MAGIC, STEP, BLOCK, MAX_BITS = b"WFID1", 128, 65_536, 16
@@ -266,7 +266,7 @@ def id_counts(table: DataFrame) -> dict[int, int]:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
-    """Write the files; returns their table: part, name, n_docs, n_ids, start (ids before it)."""
+    """Write the files to a folder of their own; returns their table: part, name, n_docs, n_ids, start (ids before it)."""
     path = tokenizer or default_tokenizer("word_bpe_49k.json")
     table = materialise(token_table(docs, path, end_id), "token-ids")
     counts = id_counts(table)
@@ -297,6 +297,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     keyed = table.withColumns({"hash": F.xxhash64("ids"), "place": F.monotonically_increasing_id()})
     ranged = keyed.repartitionByRange(files, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "place")
     made = materialise(ranged.select("doc_id", "n_tokens", "ids").mapInArrow(write, "part long, name string, n_docs long, n_ids long"), "token-files")
+    remove_strays(docs.sparkSession, folder, made)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file only
     return made.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

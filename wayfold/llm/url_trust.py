@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, release
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
@@ -65,7 +65,8 @@ def spread(hosts: DataFrame, links: DataFrame, seed: str, source: str, target: s
         come = rank.where("change > 0").join(shares, F.col("host") == F.col("from")).groupBy("to").agg((damping * F.sum(F.col("change") * F.col("share"))).alias("come"))
         both = rank.join(come, F.col("host") == F.col("to"), "full")
         more = F.coalesce("come", F.lit(0.0))
-        rank = materialise(both.select(F.coalesce("host", "to").alias("host"), (F.coalesce("rank", F.lit(0.0)) + more).alias("rank"), more.alias("change")), "ranks")
+        last, rank = rank, materialise(both.select(F.coalesce("host", "to").alias("host"), (F.coalesce("rank", F.lit(0.0)) + more).alias("rank"), more.alias("change")), "ranks")
+        release(last)
         left = rank.agg(F.coalesce(F.sum("change"), F.lit(0.0))).first()[0]
     return rank.select("host", "rank")
 

@@ -35,7 +35,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import AtomicFile, materialise, read_file, slices, task_id
+from .shared import AtomicFile, materialise, read_file, remove_strays, slices, task_id
 
 MAGIC, MIN_BYTES, ARCHIVE_BYTES = 0x184D2A5D, 1_000, 256_000_000
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 16_384, 65_536
@@ -106,7 +106,7 @@ def marked_pages(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write all pages; returns the table of archives: name, records (of pages), bytes."""
+    """Write all pages to a folder of their own; returns the table of archives: name, records (of pages), bytes."""
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     dictionary = make_dictionary(pages, date)
 
@@ -143,7 +143,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, ar
         if done:
             yield pa.record_batch([pa.array(c) for c in zip(*done, strict=True)], names=["name", "records", "bytes"])
 
-    return materialise(marked_pages(pages, min_bytes).mapInArrow(write, "name string, records long, bytes long"), "archives")
+    made = materialise(marked_pages(pages, min_bytes).mapInArrow(write, "name string, records long, bytes long"), "archives")
+    remove_strays(pages.sparkSession, folder, made)
+    return made
 
 
 def records(folder: str, name: str):
