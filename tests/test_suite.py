@@ -80,6 +80,12 @@ def test_kernels():
         for j in range(5):
             table[i + 1, j + 1] = max(m[i, j], min(table[i, j], table[i, j + 1], table[i + 1, j]))
     assert kernels.frechet(a, b) == table[-1, -1] >= kernels.hausdorff(a, b)
+    parts = [rng.random((n, 4)) for n in (3, 1, 9, 40, 2)]
+    for batch in (60_000, 100, 1):
+        kernels.BATCH_CELLS = batch
+        assert kernels.measured(parts, b, kernels.hausdorff).tolist() == pytest.approx([kernels.hausdorff(p, b) for p in parts])
+    kernels.BATCH_CELLS = 60_000
+    assert kernels.measured(parts, b, kernels.frechet).tolist() == [kernels.frechet(p, b) for p in parts] and len(kernels.measured([], b, kernels.hausdorff)) == 0
     cells, kernels.CELLS = kernels.CELLS, 7
     try:  # in blocks, and costs by diagonal
         assert kernels.frechet(a, b) == pytest.approx(table[-1, -1]) and kernels.hausdorff(a, b) == pytest.approx(max(m.min(1).max(), m.min(0).max()))

@@ -4,23 +4,36 @@ from __future__ import annotations
 
 import numpy as np
 
-CELLS = 1_000_000
+CELLS, BATCH_CELLS = 1_000_000, 20_000
+
+
+def _squares(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Squared distances of points (n, 2) to segments (m, 4); coordinates apart, as sums over a short axis are slow."""
+    x, y = s[:, 0], s[:, 1]
+    dx, dy = s[:, 2] - x, s[:, 3] - y
+    square = dx * dx + dy * dy
+    left, up = p[:, 0, None] - x, p[:, 1, None] - y
+    t = left * (dx / np.where(square == 0, 1.0, square))
+    t += up * (dy / np.where(square == 0, 1.0, square))
+    np.clip(t, 0, 1, out=t)
+    left -= t * dx
+    up -= t * dy
+    left *= left
+    up *= up
+    left += up
+    return left
 
 
 def points_to_segments(p: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Distances of points (n, 2) to segments (m, 4)."""
-    d = s[:, 2:] - s[:, :2]
-    square = (d * d).sum(1)
-    rel = p[:, None, :] - s[None, :, :2]
-    t = np.clip((rel * d).sum(2) / np.where(square == 0, 1.0, square), 0, 1) * (square > 0)
-    off = p[:, None, :] - (s[None, :, :2] + t[..., None] * d)
-    return np.sqrt((off * off).sum(2))
+    return np.sqrt(_squares(p, s))
 
 
 def match_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Segment match distances of all pairs."""
-    one = np.maximum(points_to_segments(a[:, :2], b), points_to_segments(a[:, 2:], b))
-    return np.maximum(one, np.maximum(points_to_segments(b[:, :2], a), points_to_segments(b[:, 2:], a)).T)
+    one = np.maximum(_squares(a[:, :2], b), _squares(a[:, 2:], b))
+    other = np.maximum(_squares(b[:, :2], a), _squares(b[:, 2:], a))
+    return np.sqrt(np.maximum(one, other.T, out=one), out=one)
 
 
 def cross_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,6 +78,24 @@ def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
     return float(max(far, near.max()))
 
 
+def hausdorff_many(parts: list[np.ndarray], query: np.ndarray) -> np.ndarray:
+    """``hausdorff`` of each part to one query, several parts in one matrix."""
+    out, most = np.zeros(len(parts)), max(1, BATCH_CELLS // len(query))
+    begin = 0
+    while begin < len(parts):
+        end, held = begin + 1, len(parts[begin])
+        while end < len(parts) and held + len(parts[end]) <= most:
+            held, end = held + len(parts[end]), end + 1
+        if held > most:  # one long part
+            out[begin] = hausdorff(parts[begin], query)
+        else:
+            starts = np.cumsum([0, *(len(p) for p in parts[begin : end - 1])])
+            m = match_matrix(np.concatenate(parts[begin:end]), query)
+            out[begin:end] = np.maximum(np.maximum.reduceat(m.min(1), starts), np.minimum.reduceat(m, starts, axis=0).max(1))
+        begin = end
+    return out
+
+
 def match_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Segment match distances of rows of the same place."""
 
@@ -82,19 +113,24 @@ def frechet(a: np.ndarray, b: np.ndarray) -> float:
     """Discrete Frechet distance with match distances as cost, by antidiagonals: three of them are held,
     and the costs of one are taken from a matrix if that is small, else computed for it."""
     n, m = len(a), len(b)
-    whole = match_matrix(a, b) if n * m <= CELLS else None
-    last, before = np.full(n, np.inf), np.full(n, np.inf)  # by row; the diagonals of k - 1 and of k - 2
+    flat = match_matrix(a, b).ravel() if n * m <= CELLS and m > 1 else None
+    last, before, here = (np.full(n + 2, np.inf) for _ in range(3))  # row i is at i + 1; outside it is infinity
     for k in range(n + m - 1):
-        i = np.arange(max(0, k - m + 1), min(n, k + 1))
-        cost = whole[i, k - i] if whole is not None else match_pairs(a[i], b[k - i])
-        here = np.full(n, np.inf)
-        if k == 0:
-            here[0] = cost[0]
+        low, high = max(0, k - m + 1), min(n - 1, k)
+        if flat is not None:  # (i, k - i) is at k + i * (m - 1)
+            cost = flat[k + low * (m - 1) : k + high * (m - 1) + 1 : m - 1]
         else:
-            up = np.where(i > 0, np.minimum(last[i - 1], before[i - 1]), np.inf)  # (i - 1, j) and (i - 1, j - 1)
-            here[i] = np.maximum(cost, np.minimum(last[i], up))
-        last, before = here, last
-    return float(last[n - 1])
+            i = np.arange(low, high + 1)
+            cost = match_pairs(a[i], b[k - i])
+        if k:
+            best = np.minimum(last[low : high + 1], before[low : high + 1])  # (i - 1, j) and (i - 1, j - 1)
+            np.minimum(best, last[low + 1 : high + 2], out=best)
+            np.maximum(best, cost, out=here[low + 1 : high + 2])
+        else:
+            here[1] = cost[0]
+        here[low] = here[high + 2] = np.inf  # what the next two diagonals can see of older ones
+        last, before, here = here, last, before
+    return float(last[n])
 
 
 def points_distance(a: np.ndarray, b: np.ndarray) -> float:
@@ -134,4 +170,11 @@ def memoised(distance, limit: int = 100_000):
 
 
 #: Metrics and other measures of two trajectories; a function of two arrays serves as well.
+BATCHES = {hausdorff: hausdorff_many}
 DISTANCES = {"hausdorff": hausdorff, "frechet": frechet, "points": points_distance}
+
+
+def measured(parts: list[np.ndarray], query: np.ndarray, measure) -> np.ndarray:
+    """The distances of all parts to a query, side by side where the measure has a form for that."""
+    many = BATCHES.get(measure)
+    return many(parts, query) if many else np.array([measure(p, query) for p in parts], float)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import DISTANCES
+from ..functions.kernels import DISTANCES, measured
 from ..storage import materialise
 from .layout import by_partition
 
@@ -100,7 +100,8 @@ def pivot_cells(trajectories: DataFrame, pivots: list[tuple[int, np.ndarray]], d
         import pyarrow as pa
 
         for batch in batches:
-            table = np.array([[measure(t, p) for _, p in pivots] for t in arrays(batch)]).reshape(-1, len(pivots))
+            rows = arrays(batch)
+            table = np.stack([measured(rows, p, measure) for _, p in pivots], axis=1)
             best = table.argmin(1)
             yield pa.record_batch({n: batch.column(n) for n in ("traj_id", "n_segs", "segs")} | {"pivot": pa.array(best, pa.int64()), "pivot_dist": pa.array(table[np.arange(len(best)), best])})
 

@@ -8,12 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import DISTANCES, box_gaps
+from ..functions.kernels import DISTANCES, box_gaps, measured
 from .metric import arrays
 from .trajectories import assembled
 
 #: Segments of all queries that tasks get at once; more queries go in further blocks.
 BLOCK_SEGMENTS = 100_000
+#: Trajectories that a task measures against a query before it looks at the bound again.
+STEP = 64
 
 
 def query_arrays(queries: DataFrame) -> Iterator[dict[int, np.ndarray]]:
@@ -47,7 +49,7 @@ def trajectory_distances(trajectories: DataFrame, query: np.ndarray, distance="h
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.record_batch({"traj_id": batch.column("traj_id"), "dist": pa.array([measure(t, query) for t in arrays(batch)], pa.float64())})
+            yield pa.record_batch({"traj_id": batch.column("traj_id"), "dist": pa.array(measured(arrays(batch), query, measure), pa.float64())})
 
     rows = trajectories.select("traj_id", "segs")
     return (rows.repartition(partitions) if partitions else rows).mapInArrow(run, "traj_id long, dist double")
@@ -85,11 +87,15 @@ def topk_many(trajectories: DataFrame, queries: DataFrame, k: int = 10, distance
                 own = np.stack([batch.column(n).to_numpy() for n in ("xmin", "ymin", "xmax", "ymax")], axis=1)
                 gaps, segs, ids = box_gaps(own, boxes), arrays(batch), batch.column("traj_id").to_pylist()
                 for at, (q, query) in enumerate(block.items()):
-                    rows = held[q]
-                    for row in np.argsort(gaps[:, at], kind="stable").tolist():
-                        if len(rows) >= k and gaps[row, at] > rows[k - 1][0] + 1e-6:
+                    rows, order = held[q], np.argsort(gaps[:, at], kind="stable")
+                    for k0 in range(0, len(order), STEP):
+                        some = order[k0 : k0 + STEP]
+                        if len(rows) >= k:
+                            some = some[gaps[some, at] <= rows[k - 1][0] + 1e-6]
+                        if not len(some):
                             break
-                        rows.append((round(measure(segs[row], query), 6), ids[row]))
+                        dist = np.round(measured([segs[j] for j in some], query, measure), 6)
+                        rows += [(d, ids[j]) for d, j in zip(dist.tolist(), some.tolist(), strict=True)]
                         rows.sort()
                         del rows[k:]
             rows = [(q, i, d) for q, some in held.items() for d, i in some]
