@@ -215,6 +215,24 @@ def test_fingerprint_links_between_hot_neighbours(spark, monkeypatch):
     assert len({got.get(f, f) for f, _ in rows}) == 1
 
 
+def test_fingerprint_links_have_a_small_plan(spark, monkeypatch):
+    """The driver analyses and compiles the plan, so it mustn't have terms for each bit or a join for each kind of pair."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", 0)
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.getrandbits(20) - (1 << 62), 1, k) for k in range(200)], "fp long, n_docs long, doc long")
+    plan = simhash.fingerprint_links(df, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright" not in plan.lower() and len(plan) < 50_000
+    assert plan.count("Join ") == 4  # the hot values with probes (twice) and with members, then these
+
+
+def test_close_members_of_hot_values_never_meet(spark, monkeypatch):
+    """Members close to a pivot link to it alone; no group is expanded into pairs."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", 2)
+    monkeypatch.setattr(simhash, "plan", lambda *_: [(list(range(32)), 0)])
+    df = spark.createDataFrame([(0, 9, 0)] + [(1 << 32 + k, 1, k) for k in range(1, 30)], "fp long, n_docs long, doc long")
+    assert {(r["a"], r["b"]) for r in simhash.fingerprint_links(df, 4).collect()} == {(0, 1 << 32 + k) for k in range(1, 30)}
+
+
 def test_near_duplicates_edge_cases(docs, empty):
     rows = simhash.near_duplicates(docs, words=4).collect()
     assert len(rows) == docs.count()

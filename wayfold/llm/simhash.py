@@ -29,6 +29,7 @@ id unless all of its ids are null; other columns are ignored; an empty table giv
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -107,9 +108,15 @@ def group_bits(planes: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def ball(width: int, radius: int) -> list[int]:
-    """Masks of at most ``radius`` of ``width`` bits."""
-    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
+def signed_mask(bits) -> int:
+    """Signed 64-bit number with just these bits."""
+    mask = sum(1 << b for b in bits)
+    return mask - (1 << BITS) if mask >> BITS - 1 else mask
+
+
+def ball(bits: list[int], radius: int) -> list[int]:
+    """Masks of at most ``radius`` of the bits."""
+    return [signed_mask(c) for r in range(radius + 1) for c in combinations(bits, r)]
 
 
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -138,7 +145,7 @@ def plan(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]
             pairs = np.bincount(apart[np.triu_indices(len(x), 1)], minlength=BITS + 1) if len(x) > 1 else np.zeros(BITS + 1)
             row = [0.0]
             for t in range(min(radius, 2) + 1):
-                probes = len(ball(len(bits), t))
+                probes = sum(comb(len(bits), r) for r in range(t + 1))
                 share = max(pairs[: t + 1].sum() / max(1, pairs.sum()), probes / 2.0 ** len(bits))
                 row.append(n * (probes + CHECK_COST * n * share))
             costs.append(row)
@@ -152,11 +159,9 @@ def plan(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]
 
 
 def _value(bits: list[int], fp: str = "fp"):
-    """The bits of a part as one number."""
-    out = F.lit(0).cast("long")
-    for k, b in enumerate(bits):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, b).bitwiseAND(F.lit(1).cast("long")), k))
-    return out
+    """The bits of a part, in their places: one operation, as terms for each bit make plans that
+    take the driver hundreds of MB to analyse and compile."""
+    return F.col(fp).bitwiseAND(F.lit(signed_mask(bits)).cast("long"))
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -169,7 +174,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not chosen:
         return spark.createDataFrame([], "a long, b long")
     index = distinct.select("fp", "n_docs", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), _value(bits).alias("key")) for k, (bits, _) in enumerate(chosen)])).alias("at")).select("at.part", "at.key", F.col("fp").alias("b"), "n_docs")
-    masks = [F.struct(F.lit(k).alias("part"), F.lit(x).cast("long").alias("mask")) for k, (bits, t) in enumerate(chosen) for x in ball(len(bits), t)]
+    masks = [F.struct(F.lit(k).alias("part"), F.lit(x).cast("long").alias("mask")) for k, (bits, t) in enumerate(chosen) for x in ball(bits, t)]
     values = F.array(*[_value(bits) for bits, _ in chosen])
     probes = distinct.select("fp", values.alias("v"), F.explode(F.array(*masks)).alias("at")).select("at.part", F.col("v")[F.col("at.part")].bitwiseXOR(F.col("at.mask")).alias("key"), F.col("fp").alias("a"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
@@ -191,18 +196,19 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         sections.append([others[k :: radius + 1] for k in range(radius + 1)])
 
     def sectioned(df: DataFrame, fp: str) -> DataFrame:
+        """A row for each section of a hot value's member, one row for any other."""
         values = F.array(*[F.array(*[_value(bits, fp) for bits in of]) for of in sections])
-        return df.select("*", F.posexplode(F.element_at(values, F.col("part") + 1)).alias("section", "value"))
+        wanted = F.when(F.col("pivot").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.element_at(values, F.col("part") + 1))
+        return df.select("part", "key", fp, "close", F.col("pivot").isNull().alias("cold"), F.posexplode(wanted).alias("section", "value"))
 
+    # one join for all: each branch of a union would take the driver another plan, its broadcasts and its shuffles
     left, right = flagged(probes, "a"), flagged(index.drop("n_docs"), "b")
-    cold = left.where("pivot is null").select("part", "key", "a").join(right.where("pivot is null").select("part", "key", "b"), ["part", "key"]).where(near & (F.col("a") < F.col("b"))).select("a", "b")
-    left, right = left.where("pivot is not null"), right.where("pivot is not null")
     stars = left.where("close and a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b"))  # probes hold each own value too
-    by = ["part", "key", "section", "value"]
-    left, right = sectioned(left.select("part", "key", "a", "close"), "a"), sectioned(right.select("part", "key", "b", "close"), "b")
-    rest = left.where("not close").drop("close").join(right.drop("close"), by).where(near & (F.col("a") != F.col("b"))).select("a", "b")
-    cross = left.where("close").drop("close").join(right.where("not close").drop("close"), by).where(near & (F.col("a") != F.col("b"))).select("a", "b")
-    return cold.unionByName(stars).unionByName(rest).unionByName(cross)
+    meets = F.when(F.col("cold") | F.col("close"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    left = sectioned(left, "a").withColumn("b_close", F.explode(meets)).drop("close")  # close ones never meet each other
+    right = sectioned(right, "b").drop("cold").withColumnRenamed("close", "b_close")
+    once = F.when(F.col("cold"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    return left.join(right, ["part", "key", "section", "value", "b_close"]).where(near & once).select("a", "b").unionByName(stars)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
