@@ -242,6 +242,19 @@ def test_near_duplicates_edge_cases(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_links_found_several_times_are_joined_once(spark, monkeypatch):
+    """What the search finds again in other parts isn't joined again."""
+    found = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (2, 4)], "a long, b long")
+    assert sorted(tuple(r) for r in near_copies.both_ways(found).collect()) == [(1, 2), (2, 1), (2, 4), (4, 2)]
+    joined, union = [], near_copies.both_ways
+    monkeypatch.setattr(near_copies, "both_ways", lambda links: joined.append(union(links)) or joined[-1])
+    fps = [0] + [1 << k for k in range(6)]
+    rows = [(k, 9 - k, 1, fp, (k,)) for k, fp in enumerate(fps)]
+    pairs = near_copies.simhash_pairs(spark.createDataFrame(rows, "node long, n long, size long, fp long, at struct<doc: long>"))
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(1, 0)} | {(0, k) for k in range(1, 7)}
+    assert joined[0].count() == 7 * 6
+
+
 def test_near_copies_equal_brute_force(spark, docs, empty):
     import corpus_pipeline
 

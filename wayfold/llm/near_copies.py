@@ -131,14 +131,21 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return x.join(y, "shingle").where(fits).select("a", "b").distinct()
 
 
+def both_ways(links: DataFrame) -> DataFrame:
+    """a, b: each link once in either direction; a search finds those of large groups in several parts and sections."""
+    once = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return once.select(F.explode(ends).alias("at")).select("at.a", "at.b")
+
+
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
     """a, b: each node with the main one of its fingerprint, and that with the main one of the
     neighbouring fingerprint that has the most documents."""
     nodes = nodes.where("size > 0").select("node", "n", "fp", "at.doc")
     prints = nodes.groupBy("fp").agg(F.sum("n").alias("n_docs"), F.min("doc").alias("doc"), F.max(F.struct("n", "node")).alias("main"))
     prints = materialise(prints.select("fp", "n_docs", "doc", F.col("main.node").alias("main")), "distinct-fingerprints")
-    links = fingerprint_links(prints.select("fp", "n_docs", "doc"), RADIUS).select("a", "b")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    links = fingerprint_links(prints.select("fp", "n_docs", "doc"), RADIUS)
+    both = both_ways(links)
     known = prints.select(F.col("fp").alias("b"), "n_docs", F.col("main").alias("other"))
     best = both.join(known, "b").groupBy("a").agg(F.max(F.struct("n_docs", "other")).alias("best"))
     across = best.join(prints.select(F.col("fp").alias("a"), F.col("main").alias("own")), "a").select(F.col("best.other").alias("a"), F.col("own").alias("b"))
