@@ -1,6 +1,7 @@
 """The llm operators against brute force, round trips and edge cases."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -52,6 +53,27 @@ def test_pieces_and_resynchronisation_equal_the_library(name):
         assert token_counts.resync_ids(text, chunks, 30, 4)[0] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_with_runs_of_marks_need_no_library_call(name, monkeypatch):
+    coder, rnd = PieceEncoder(shared.default_tokenizer(name)), random.Random(5)
+    parts = ["Gaez", "élan", "ß", "$$$", "!!", "***", "_", "'", "'s", "<|endoftext|>", "<", "|>", " ", "\n"]
+    for _ in range(1500):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9)))
+        assert coder.ids(text) == array("I", coder.tok.encode(text, add_special_tokens=False).ids).tobytes()
+    want = array("I", coder.tok.encode("x Gaez$$$ éla!! AB***", add_special_tokens=False).ids).tobytes()
+    first, seen = coder._whole("x"), []
+    monkeypatch.setattr(coder, "_whole", lambda text: seen.append(text) or first)
+    assert coder.ids("x Gaez$$$ éla!! AB***") == want and set(seen) <= {"x"}
+
+
+def test_added_tokens_of_letters_and_marks_take_the_library(tmp_path):
+    with open(shared.default_tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": spec["added_tokens"][0]["id"] + 1, "content": "ab!!"})
+    (tmp_path / "odd.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert PieceEncoder(str(tmp_path / "odd.json")).mode == "whole"
+
+
 def test_resynchronisation_equals_sentencepiece():
     chunks, rnd = token_counts.chunk_encoder(shared.default_tokenizer("piece_bpe_32k.model")), random.Random(5)
     assert chunks.provable

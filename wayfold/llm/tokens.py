@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from array import array
 from functools import lru_cache
 
 #: The pre-tokeniser pattern of the lower-casing vocabulary that drops white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_PUNCT = frozenset(".,!?;:")
+#: Neither letters, digits nor white space: a run of these after a letter is one pre-token of both patterns.
+_MARKS = string.punctuation
+#: An added token of this form could lie across a word and its marks.
+_WORD_AND_MARKS = re.compile(f"[^\\W\\d_]*[{re.escape(_MARKS)}]*")
 
 
 def byte_letters() -> list[str]:
@@ -70,7 +74,7 @@ class PieceEncoder:
             spec = json.load(f)
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        plain = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in spec["added_tokens"])
+        plain = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or _WORD_AND_MARKS.fullmatch(t["content"])) for t in spec["added_tokens"])
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
         ends = spec["post_processor"] is None and not spec["truncation"] and not spec["padding"]
         self.mode = "whole"
@@ -102,16 +106,17 @@ class PieceEncoder:
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """A piece that isn't in the memo. Latin letters with at most one mark at the end are
+        """A piece that isn't in the memo. Latin letters with any ASCII marks at the end are
         one or two pre-tokens; the model gets these at once, all else takes the library's way."""
         if not piece:
             return b"" if self.mode == "bare" else self._whole(" ")
-        body, mark = (piece[:-1], piece[-1]) if piece[-1] in _PUNCT else (piece, "")
+        body = piece.rstrip(_MARKS)
+        mark = piece[len(body) :]
         if self.mode == "spaced" and "\n" in piece:
             first, *rest = piece.split("\n")
             if first and all(r and not r[0].isspace() and not r[-1].isspace() for r in rest) and not first[-1].isspace():
                 return self._piece(first) + b"".join(self._pretoken("\n") + self._bare(r) for r in rest)
-        if not body.isalpha() or max(body) > "\xff":
+        if not body.isalpha() or not body.isascii() and max(body) > "\xff":
             return self._whole(piece if self.mode == "bare" else " " + piece)
         if mark:
             return self.memo[body] + self._pretoken(mark)
@@ -136,8 +141,9 @@ class PieceEncoder:
 
     def _bare(self, part: str) -> bytes:
         """As ``_piece`` for what follows a single newline."""
-        body, mark = (part[:-1], part[-1]) if part[-1] in _PUNCT else (part, "")
-        if not body.isalpha() or max(body) > "\xff":
+        body = part.rstrip(_MARKS)
+        mark = part[len(body) :]
+        if not body.isalpha() or not body.isascii() and max(body) > "\xff":
             return self._whole(part)
         return self._pretoken(body) + (self._pretoken(mark) if mark else b"")
 
