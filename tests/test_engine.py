@@ -87,6 +87,30 @@ def test_many_queries(store, segments, arrays, monkeypatch):
     assert search.topk_many(store.trajectories(), queries.where("false")).count() == 0
 
 
+def test_many_queries_measure_few(monkeypatch):
+    """Overlapping trajectories: bounds leave out most of them, and the answer stays that of a scan."""
+    rng, seen = np.random.default_rng(11), []
+    segs = []
+    for _ in range(600):
+        points = np.stack([np.sort(rng.uniform(0, 720, 40)), rng.exponential(50, 40)], axis=1)
+        segs.append(np.concatenate([points[:-1], points[1:]], axis=1))
+    monkeypatch.setattr(search, "measured", lambda parts, *rest: seen.append(len(parts)) or kernels.measured(parts, *rest))
+    points = np.concatenate([kernels.grid((0, 0), (720, 400), *size) for size in (search.COARSE, search.FINE)])
+    for distance in ("hausdorff", "frechet", "points"):
+        part = search._Part(segs, list(range(600)), points, distance)
+        for q in (0, 5, 9):
+            want = sorted((round(kernels.DISTANCES[distance](s, segs[q]), 6), i) for i, s in enumerate(segs))[:4]
+            own = part.table[:, q] if distance != "points" else part.table[q]
+            for bound in (np.inf, want[3][0]):
+                rows = []
+                seen.clear()
+                part.search(segs[q], own, rows, 4, bound)
+                assert rows == want
+                assert distance == "points" or sum(seen) < 600 / (4 if bound == np.inf else 10)
+    r = kernels.hausdorff(segs[1], segs[0])
+    assert kernels.maybe_within(segs[1:2], segs[0], r + 1e-9).all() and not kernels.maybe_within(segs[1:2], segs[0], 1.0).any()
+
+
 def test_vantage_tree(arrays):
     items = sorted(arrays.items())
     tree = metric.VantageTree(items, kernels.hausdorff)
