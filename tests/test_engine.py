@@ -300,3 +300,35 @@ def test_stream_of_points(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 57
     counts = streams.windowed_counts(table, "30 seconds", "1 minute").collect()
     assert sorted((r["points"], r["trajectories"]) for r in counts) == [(30, 3), (30, 3)]
+
+
+def test_pairs_of_edges_are_kernels(spark):
+    """No lambda in a lambda is left in the plan, and the kernels agree with the columns and with nulls."""
+    from wayfold.functions import geometry as G
+    from wayfold.functions.planar import Box, LineString, intersects, min_dist
+
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 6, (400, 4)).astype(float), rng.integers(0, 6, (400, 4)).astype(float)
+    rows = spark.createDataFrame([(*map(float, x), *map(float, y)) for x, y in zip(a, b, strict=True)], "a1 double, a2 double, a3 double, a4 double, b1 double, b2 double, b3 double, b4 double")
+    left, right = [f"a{k}" for k in (1, 2, 3, 4)], [f"b{k}" for k in (1, 2, 3, 4)]
+    got = rows.select(G.segments_intersect(left, right).alias("meet"), G.segment_min(left, right).alias("dist")).collect()
+    assert [r["meet"] for r in got] == (kernels.meeting(a, b) == 1).tolist() and [r["dist"] for r in got] == kernels.apart(a, b).tolist()
+    na, nb = rng.integers(0, 5, 90), rng.integers(0, 5, 90)
+    a, b = rng.random((na.sum(), 4)), rng.random((nb.sum(), 4))
+    for pairs in (1, 7, 50_000):
+        kernels.PAIRS = pairs
+        got = kernels.row_pairs(a, na, b, nb, *kernels.PAIRED["apart"])
+        for r, (i, j) in enumerate(zip(np.cumsum(na) - na, np.cumsum(nb) - nb, strict=True)):
+            want = [kernels.apart(a[i + k : i + k + 1], b[j + m : j + m + 1])[0] for k in range(na[r]) for m in range(nb[r])]
+            assert got[r] == min(want) if want else np.isnan(got[r])
+    ring = Polygon.of([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)])
+    line = LineString.of([(1.0, 9.0), (1.0, 5.0)])
+    points = spark.createDataFrame([(2.0,), (4.5,), (9.0,), (None,)], "x double")
+    box = Box("x", "x", "x", "x")
+    table = points.select(min_dist(ring, box).alias("d"), intersects(ring, box).alias("m"), min_dist(box, line).alias("l"), min_dist(ring, line).alias("r"), intersects(ring, line).alias("n"))
+    out = [tuple(r) for r in table.collect()]
+    assert [r[0] for r in out] == [0.0, pytest.approx(0.5**0.5), pytest.approx(50**0.5), None]
+    assert [r[1] for r in out] == [True, False, False, None] and {r[3:] for r in out} == {(1.0, False)}
+    assert [r[2] for r in out] == [pytest.approx(10**0.5), pytest.approx((3.5**2 + 0.5**2) ** 0.5), 8.0, None]
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 0 and "ArrowEvalPython" in plan

@@ -186,8 +186,45 @@ Shape = Point | Segment | Box | Circle | LineString | Polygon
 _ORDER = (Point, Segment, Box, Circle, LineString, Polygon)
 
 
+def _pairs(a: Column, b: Column, kernel: str) -> Column:
+    """What ``kernel`` (of ``kernels.PAIRED``) says of all pairs of two arrays of segments; an Arrow kernel, since
+    lambdas are interpreted node by node, and the expressions of coordinates again for each element."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        import numpy as np
+
+        from . import kernels
+
+        def quads(parts):
+            flat = parts.flatten()  # without null rows
+            fields = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
+            return np.stack([fields[n].to_numpy(zero_copy_only=False).astype(float) for n in _S], axis=1)
+
+        sizes = [p.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for p in (x, y)]
+        out = kernels.row_pairs(quads(x), sizes[0], quads(y), sizes[1], *kernels.PAIRED[kernel])
+        known = x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array(out, mask=~known | np.isnan(out))
+
+    return run(a, b)
+
+
 def _cross(a: Column, b: Column) -> Column:
-    return F.exists(a, lambda e: F.exists(b, lambda f: G.segments_intersect(_quad(e), _quad(f))))
+    """Whether any two segments of two arrays meet; null if that isn't known for null coordinates."""
+    met = _pairs(a, b, "meeting")
+    return F.when(met != 0.5, met == 1.0)
+
+
+def _held(p: Point, polygon: Polygon) -> Column:
+    """``polygon.holds(p)`` as a kernel."""
+    at = F.array(F.struct(*[_c(v).alias(n) for v, n in zip((p.x, p.y, p.x, p.y), _S, strict=True)]))
+    return _pairs(polygon.edges(), at, "crossed") % 2 == 1
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """The least distance of any two segments of two arrays."""
+    return _pairs(a, b, "apart")
 
 
 def _least(a: Column, quad) -> Column:
@@ -209,13 +246,13 @@ _MEET = {
     (Box, Box): lambda a, b: G.mbr_intersects(a.quad, b.quad),
     (Box, Circle): lambda a, b: G.point_mbr(b.x, b.y, a.quad) <= _c(b.r),
     (Box, LineString): lambda a, b: F.exists(b.parts, lambda e: G.segment_intersects_mbr(_quad(e), a.quad)),
-    (Box, Polygon): lambda a, b: _cross(a.edges(), b.edges()) | b.holds(Point(a.xmin, a.ymin)) | G.mbr_contains(a.quad, b.corner().x, b.corner().y),
+    (Box, Polygon): lambda a, b: _cross(a.edges(), b.edges()) | _held(Point(a.xmin, a.ymin), b) | G.mbr_contains(a.quad, b.corner().x, b.corner().y),
     (Circle, Circle): lambda a, b: G.point_point(a.x, a.y, b.x, b.y) <= _c(a.r) + _c(b.r),
     (Circle, LineString): lambda a, b: F.exists(b.parts, lambda e: G.point_segment(a.x, a.y, _quad(e)) <= _c(a.r)),
     (Circle, Polygon): lambda a, b: min_dist(a.centre(), b) <= _c(a.r),
     (LineString, LineString): lambda a, b: _cross(a.parts, b.parts),
     (LineString, Polygon): lambda a, b: F.exists(a.parts, lambda e: b.holds(Point(e["x1"], e["y1"]))) | _cross(a.parts, b.edges()),
-    (Polygon, Polygon): lambda a, b: _cross(a.edges(), b.edges()) | b.holds(a.corner()) | a.holds(b.corner()),
+    (Polygon, Polygon): lambda a, b: _cross(a.edges(), b.edges()) | _held(a.corner(), b) | _held(b.corner(), a),
 }
 
 _APART = {
@@ -229,11 +266,11 @@ _APART = {
     (Segment, LineString): lambda a, b: _least(b.parts, a.quad),
     (Segment, Polygon): lambda a, b: F.when(b.holds(Point(a.x1, a.y1)), F.lit(0.0)).otherwise(_least(b.edges(), a.quad)),
     (Box, Box): lambda a, b: G.mbr_mbr(a.quad, b.quad),
-    (Box, LineString): lambda a, b: F.array_min(F.transform(b.parts, lambda e: G.segment_mbr(_quad(e), a.quad))),
-    (Box, Polygon): lambda a, b: F.when(b.holds(Point(a.xmin, a.ymin)), F.lit(0.0)).otherwise(F.array_min(F.transform(b.edges(), lambda e: G.segment_mbr(_quad(e), a.quad)))),
-    (LineString, LineString): lambda a, b: F.array_min(F.transform(a.parts, lambda e: _least(b.parts, _quad(e)))),
-    (LineString, Polygon): lambda a, b: F.when(intersects(a, b), F.lit(0.0)).otherwise(F.array_min(F.transform(a.parts, lambda e: _least(b.edges(), _quad(e))))),
-    (Polygon, Polygon): lambda a, b: F.when(intersects(a, b), F.lit(0.0)).otherwise(F.array_min(F.transform(a.edges(), lambda e: _least(b.edges(), _quad(e))))),
+    (Box, LineString): lambda a, b: F.when(F.exists(b.parts, lambda e: G.mbr_contains(a.quad, e["x1"], e["y1"]) | G.mbr_contains(a.quad, e["x2"], e["y2"])), F.lit(0.0)).otherwise(_apart(a.edges(), b.parts)),
+    (Box, Polygon): lambda a, b: F.when(_held(Point(a.xmin, a.ymin), b) | G.mbr_contains(a.quad, b.corner().x, b.corner().y), F.lit(0.0)).otherwise(_apart(a.edges(), b.edges())),
+    (LineString, LineString): lambda a, b: _apart(a.parts, b.parts),
+    (LineString, Polygon): lambda a, b: F.when(F.exists(a.parts, lambda e: b.holds(Point(e["x1"], e["y1"]))), F.lit(0.0)).otherwise(_apart(a.parts, b.edges())),
+    (Polygon, Polygon): lambda a, b: F.when(_held(a.corner(), b) | _held(b.corner(), a), F.lit(0.0)).otherwise(_apart(a.edges(), b.edges())),
 }
 
 
