@@ -332,3 +332,36 @@ def test_pairs_of_edges_are_kernels(spark):
     assert [r[2] for r in out] == [pytest.approx(10**0.5), pytest.approx((3.5**2 + 0.5**2) ** 0.5), 8.0, None]
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(") == 0 and "ArrowEvalPython" in plan
+
+
+def test_cells_are_cut_at_exact_quantiles(spark, monkeypatch):
+    """Also where sketches are coarse, values repeat and a bracket misses its rank."""
+    monkeypatch.setattr(layout, "ACCURACY", 20)
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.exponential(10, 3_000), np.repeat([1.0, 7.0], 400), [5.0]])
+    groups = np.concatenate([rng.integers(0, 3, 3_800), [9]])
+    rows = spark.createDataFrame(list(zip(groups.tolist(), values.tolist(), strict=True)) + [(1, None)], "g int, v double").repartition(7)
+    for parts in (4, 7):
+        found = layout.quantiles(rows, "v", parts, "g")
+        assert set(found) == {0, 1, 2, 9}
+        for g, cuts in found.items():
+            own = np.sort(values[groups == g])
+            assert cuts == [own[-(-len(own) * k // parts) - 1] for k in range(1, parts)]
+    assert layout.quantiles(rows.where("false"), "v", 4, "g") == {}
+
+
+def test_numbers_as_in_sql(spark):
+    """Halves of the seventh digit, small and large numbers, in texts and GeoJSON."""
+    import duckdb
+
+    from wayfold.functions import geometry as G
+
+    values = [m / 3600000000.0 for m in range(1800, 40_000_000_000, 3_600 * 27_773)] + [2e-6, 0.000123, 0.00012, 0.5, 0.0, 12.0, 12345678.25, 1e7, 1.5e15, 1e16, 1.25e17, 0.0009, -3.5, -0.00002]
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, x double")
+    got = rows.select("k", G.number_text(G.rounded("x")).alias("text"), Point("x", "x").text().alias("point"), G.rounded("x").alias("v")).orderBy("k").collect()
+    con = duckdb.connect()
+    want = [con.execute("SELECT CAST(round(x, 6) AS VARCHAR), 'POINT(' || printf('%.6f', round(x, 6)) || ' ' || printf('%.6f', round(x, 6)) || ')', round(x, 6) FROM (SELECT CAST(? AS DOUBLE) AS x)", [v]).fetchone() for v in values]
+    assert [(r["text"], r["point"], r["v"]) for r in got] == want
+    box = spark.createDataFrame([(1, 0.0003, 0.5, 1e7, 2.0)], "cell int, xmin double, ymin double, xmax double, ymax double")
+    assert shapes.geojson(box, "cell").first()["geometry"] == '{"type":"Polygon","coordinates":[[[0.0003,0.5],[10000000.0,0.5],[10000000.0,2.0],[0.0003,2.0],[0.0003,0.5]]]}'
+    assert sinks.geometry_collection(box, "cell").first()["geometry"].startswith('{"type":"GeometryCollection","geometries":[{"type":"Polygon","coordinates":[[[0.0003,0.5],[0.0003,2.0],')
