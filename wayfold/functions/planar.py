@@ -41,7 +41,7 @@ class Point:
         return Box(self.x, self.y, self.x, self.y)
 
     def text(self) -> Column:
-        return F.format_string("POINT(%.6f %.6f)", _c(self.x), _c(self.y))
+        return F.format_string("POINT(%.6f %.6f)", G.rounded(self.x), G.rounded(self.y))
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class Segment:
         return Box(F.least(_c(self.x1), _c(self.x2)), F.least(_c(self.y1), _c(self.y2)), F.greatest(_c(self.x1), _c(self.x2)), F.greatest(_c(self.y1), _c(self.y2)))
 
     def text(self) -> Column:
-        return F.format_string("SEG(%.6f %.6f->%.6f %.6f)", *map(_c, self.quad))
+        return F.format_string("SEG(%.6f %.6f->%.6f %.6f)", *map(G.rounded, self.quad))
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ class Box:
         return Box(F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.greatest(a[3], b[3]))
 
     def text(self) -> Column:
-        return F.format_string("MBR(%.6f %.6f,%.6f %.6f)", *map(_c, self.quad))
+        return F.format_string("MBR(%.6f %.6f,%.6f %.6f)", *map(G.rounded, self.quad))
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ class Circle:
         return Box(x - r, y - r, x + r, y + r)
 
     def text(self) -> Column:
-        return F.format_string("CIRCLE(%.6f %.6f,%.6f)", _c(self.x), _c(self.y), _c(self.r))
+        return F.format_string("CIRCLE(%.6f %.6f,%.6f)", *map(G.rounded, (self.x, self.y, self.r)))
 
 
 @dataclass(frozen=True)
@@ -179,7 +179,7 @@ class Polygon:
 
 
 def _points_text(begin: str, points: Column, end: str) -> Column:
-    return F.concat(F.lit(begin), F.array_join(F.transform(points, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), ", "), F.lit(end))
+    return F.concat(F.lit(begin), F.array_join(F.transform(points, lambda p: F.format_string("%.6f %.6f", G.rounded(p["x"]), G.rounded(p["y"]))), ", "), F.lit(end))
 
 
 Shape = Point | Segment | Box | Circle | LineString | Polygon

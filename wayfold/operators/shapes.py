@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import ring_text
 from ..functions.kernels import simplify
 from ..functions.planar import Point, Polygon
 
@@ -31,8 +32,7 @@ def simplified(points: DataFrame, order: str, eps: float) -> DataFrame:
 def geojson(boxes: DataFrame, key: str) -> DataFrame:
     """key, geometry: a closed five-point ring per box."""
     corners = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin")]
-    ring = F.array(*[F.array(F.round(a, 6), F.round(b, 6)) for a, b in corners])
-    return boxes.select(key, F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))).alias("geometry"))
+    return boxes.select(key, F.concat(F.lit('{"type":"Polygon","coordinates":['), ring_text(corners), F.lit("]}")).alias("geometry"))
 
 
 def walk(rng, side: float = 100.0, step: float = 5.0, steps: tuple[float, float] = (20.0, 10.0), turn: float = 0.95) -> np.ndarray:
