@@ -183,7 +183,7 @@ def queries() -> dict:
         "knn_point": _knn,
         "knn_point_ties": lambda s, d: _knn(s, d, True),
         "str_cells": lambda s, d: _cells(s, d).select("traj_id", "cell"),
-        "str_cell_stats": lambda s, d: _cells(s, d).groupBy("cell").agg(F.count("*").alias("n"), F.round(F.min("xmin"), 6).alias("xmin"), F.round(F.max("ymax"), 6).alias("ymax")),
+        "str_cell_stats": lambda s, d: _cells(s, d).groupBy("cell").agg(F.count("*").alias("n"), G.rounded(F.min("xmin")).alias("xmin"), G.rounded(F.max("ymax")).alias("ymax")),
         "haversine": lambda s, d: event_segments(s, d).select("traj_id", "seg_id", F.round(G.haversine(F.col("y1") / 10, F.col("x1") / 10, F.col("y2") / 10, F.col("x2") / 10) / 1000, 3).alias("km")),
         "zorder_encode": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_size").cast("long").alias("a"), (F.col("p_partkey") % 64).alias("b")).select("p_partkey", G.zorder(["a", "b"], 6).alias("z")),
     } | more_queries()
